@@ -5,8 +5,9 @@ of the global order. A partition's place is the prefix sum of the token counts b
 those counts, one row for a partition, go to the driver. A task that is repeated writes files of
 a new name, and the manifest names the files of the task that counted.
 
-``X.bin``: ids as unsigned 32-bit integers, little-endian, document after document.
-``X.idx``: the bytes ``TOKIDX01``, the number n of documents, n + 1 offsets in ids, n doc_ids, all
+``X.bin``: ids as unsigned little-endian integers, document after document, of 16 bits where the
+vocabulary has at most 65,536 ids, else of 32.
+``X.idx``: the bytes ``TOKIDX01``, the bytes of an id (2 or 4), the number n of documents, n + 1 offsets in ids, n doc_ids, all
 64-bit little-endian integers, then n bytes that are 0 where doc_id is null.
 """
 
@@ -35,10 +36,10 @@ def _place(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write_index(path: str, offsets: np.ndarray, doc_ids: list[int | None]) -> None:
+def write_index(path: str, offsets: np.ndarray, doc_ids: list[int | None], width: int) -> None:
     fs, at = _place(path)
     with fs.open_output_stream(at) as f:
-        f.write(MAGIC + np.int64(len(doc_ids)).astype("<i8").tobytes() + offsets.astype("<i8").tobytes())
+        f.write(MAGIC + np.array([width, len(doc_ids)], "<i8").tobytes() + offsets.astype("<i8").tobytes())
         f.write(np.array([i or 0 for i in doc_ids], "<i8").tobytes() + np.array([i is not None for i in doc_ids], "u1").tobytes())
 
 
@@ -51,14 +52,15 @@ def mapped(uri: str) -> memoryview:
         return memoryview(f.read())
 
 
-def read_index(uri: str) -> tuple[np.ndarray, list[int | None]]:
+def read_index(uri: str) -> tuple[np.ndarray, list[int | None], int]:
+    """Offsets, doc_ids, and the bytes of an id."""
     data = mapped(uri)
     if bytes(data[:8]) != MAGIC:
         raise ValueError(f"{uri} is no index of token files")
-    n = int(np.frombuffer(data, "<i8", 1, 8)[0])
-    offsets, ids = np.frombuffer(data, "<i8", n + 1, 16), np.frombuffer(data, "<i8", n, 24 + 8 * n)
-    there = np.frombuffer(data, "u1", n, 24 + 16 * n)
-    return offsets, [int(i) if t else None for i, t in zip(ids, there, strict=True)]
+    width, n = np.frombuffer(data, "<i8", 2, 8).tolist()
+    offsets, ids = np.frombuffer(data, "<i8", n + 1, 24), np.frombuffer(data, "<i8", n, 32 + 8 * n)
+    there = np.frombuffer(data, "u1", n, 32 + 16 * n)
+    return offsets, [int(i) if t else None for i, t in zip(ids, there, strict=True)], width
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0) -> list[tuple[int, str, int, int]]:
@@ -78,6 +80,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = tokens(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        width = 2 if max(encoder.library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         ids, sizes, part, out = [], [0], -1, None
         name = uuid.uuid4().hex
         for batch in slices(batches):
@@ -89,13 +92,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
                 store, at = _place(f"{folder}/{name}.bin")
                 out = store.open_output_stream(at)
             coded = encoder.encode(texts_of(batch))
-            out.write(b"".join([c + end for c in coded]))
+            flat = b"".join([c + end for c in coded])
+            out.write(np.frombuffer(flat, "<u4").astype("<u2").tobytes() if width == 2 else flat)
             sizes += [len(c) // 4 + 1 for c in coded]
             ids += batch.column("doc_id").to_pylist()
         if out is not None:
             out.close()
             offsets = np.cumsum(np.array(sizes, np.int64))
-            write_index(f"{folder}/{name}.idx", offsets, ids)
+            write_index(f"{folder}/{name}.idx", offsets, ids, width)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([len(ids)], pa.int64()), pa.array([int(offsets[-1])], pa.int64())], names=["part", "name", "n_docs", "n_tokens"])
 
     manifest = sorted(tuple(r) for r in dealt.mapInArrow(run, MANIFEST).collect())
@@ -112,14 +116,14 @@ def read_tokens(spark: SparkSession, folder: str, manifest: list[tuple[int, str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                offsets, doc_ids = read_index(f"{folder}/{row['name']}.idx")
-                data = mapped(f"{folder}/{row['name']}.bin")
+                offsets, doc_ids, width = read_index(f"{folder}/{row['name']}.idx")
+                data = np.frombuffer(mapped(f"{folder}/{row['name']}.bin"), f"<u{width}")
                 for i in range(0, len(doc_ids), 8192):
                     ends = offsets[i : i + 8193].tolist()
-                    crcs = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(ends, ends[1:], strict=False)]
+                    crcs = [zlib.crc32(data[a:b].astype("<u4")) for a, b in zip(ends, ends[1:], strict=False)]
                     columns = [pa.array(doc_ids[i : i + 8192], pa.int64()), pa.array([row["base"] + a for a in ends[:-1]], pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(crcs, pa.int64())]
                     if with_ids:
-                        columns.append(pa.array([np.frombuffer(data[4 * a : 4 * b], "<u4").astype(np.int64) for a, b in zip(ends, ends[1:], strict=False)], pa.list_(pa.int64())))
+                        columns.append(pa.array([data[a:b].astype(np.int64) for a, b in zip(ends, ends[1:], strict=False)], pa.list_(pa.int64())))
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids])
 
     files = spark.createDataFrame([(k, m[1], b) for k, (m, b) in enumerate(zip(manifest, bases, strict=False))], "k int, name string, base long")
