@@ -1,0 +1,33 @@
+"""Connected components of a graph of integer ids, by hooking and pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+
+def components(links: DataFrame) -> DataFrame:
+    """The least id that each linked id can reach: ``id``, ``component``, for the ids in links ``a``, ``b``.
+
+    In a round each root takes its least neighbour for a parent if that is less than itself, paths
+    are halved until every id points to a root, and links between roots remain. Roots fall at least
+    by half where links remain, so rounds are few. Every table is written to the shared folder.
+    """
+    edges = written(links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct(), "links")
+    found = written(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("component", F.col("id")), "components")
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        parents = written(both.groupBy("a").agg(F.min("b").alias("p")).filter("p < a").withColumnRenamed("a", "id"), "parents")
+        while True:
+            up = parents.select(F.col("id").alias("p"), F.col("p").alias("up"))
+            higher = written(parents.join(up, "p", "left").select("id", F.coalesce("up", "p").alias("p"), F.col("up").isNotNull().alias("moved")), "parents")
+            parents = higher.select("id", "p")
+            if higher.filter("moved").isEmpty():
+                break
+        root = lambda name: parents.select(F.col("id").alias(name), F.col("p").alias(f"root_{name}"))
+        found = written(found.join(root("component"), "component", "left").select("id", F.coalesce("root_component", "component").alias("component")), "components")
+        moved = edges.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        edges = written(moved.filter("a <> b").distinct(), "links")
+    return found
