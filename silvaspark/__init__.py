@@ -1,0 +1 @@
+"""Forest mapping from airborne laser scans and satellite rasters, as lazy Spark plans."""
