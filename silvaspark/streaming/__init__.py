@@ -1,0 +1 @@
+"""Nothing here yet: all inputs of the engine are batches of tiles and scenes."""
