@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spectral
 from ..operators import classify, correlate, crowns, features, points, raster, treetops
-from ..operators.grid import RasterMeta
+from ..operators.grid import RasterMeta, dense
 from ..params import Correlation, Crowns, Features, Landscape, Prepare, Treetops
 from ..schema import BANDS, CORRELATION_FEATURES, INDICES
 
@@ -35,8 +35,6 @@ def segment_crowns(tops: DataFrame, ndsm: DataFrame, mask: DataFrame, meta: Rast
         raise ValueError("no treetop lies on the raster")
     relief = raster.inverted(raster.vegetation_cells(ndsm, mask, params.minheight))
     flooded = crowns.watershed(relief, seeds, meta, params.compactness)
-    from ..operators.grid import dense
-
     every = dense(tops.sparkSession, meta).join(flooded, ["row", "col"], "left").na.fill(0, ["crown_id"])
     segments = crowns.fill_holes(every, meta)
     cells = crowns.clean_small(crowns.polygonise(segments, meta), meta.px_w, params.min_area)
