@@ -75,4 +75,4 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that ``exact_duplicates`` keeps."""
     found = exact_duplicates(docs, all_digests=True).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
     keyed = docs.withColumn("_sha_here", digest(normalised()))
-    return keyed.join(found, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_sha_here") == F.col("_sha")), "left_anti").drop("_sha_here")
+    return keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_sha_here") == F.col("_sha")), "left_anti").drop("_sha_here")
