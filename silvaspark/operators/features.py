@@ -43,14 +43,15 @@ def candidates(crowns: DataFrame, points: DataFrame, size: float = 50.0) -> Data
     return box_cells(crowns, size, x0, y0).join(cells, ["_cx", "_cy"]).select("fid").distinct()
 
 
-def crown_metrics(crowns: DataFrame, all_points: DataFrame, vegetation: DataFrame, extent: tuple[float, float, float, float], edge_buffer: float = 1.0) -> DataFrame:
+def crown_metrics(crowns: DataFrame, all_points: DataFrame, vegetation: DataFrame, extent: tuple[float, float, float, float], edge_buffer: float = 1.0, size: float = 5.0) -> DataFrame:
     """All crown fields: ``crowns`` are boxes ``fid, xmin..ymax, area``; ``vegetation`` has ground, z, intensity and ndvi.
 
     Counts are of points strictly inside. Under three points of vegetation only the edge flag, counts
-    and their ratio are given; without a candidate point near its box a crown has NULLs only.
+    and their ratio are given; without a candidate point near its box a crown has NULLs only. ``size`` is the side of the
+    join's cells, best near a crown's width.
     """
-    everything = points_in_boxes(all_points.select("x", "y"), crowns.select("fid", "xmin", "xmax", "ymin", "ymax")).groupBy("fid").agg(F.count("*").alias("n_points_all"))
-    inside = points_in_boxes(vegetation.select("x", "y", "z", "intensity", "ndvi"), crowns.select("fid", "xmin", "xmax", "ymin", "ymax"))
+    everything = points_in_boxes(all_points.select("x", "y"), crowns.select("fid", "xmin", "xmax", "ymin", "ymax"), size).groupBy("fid").agg(F.count("*").alias("n_points_all"))
+    inside = points_in_boxes(vegetation.select("x", "y", "z", "intensity", "ndvi"), crowns.select("fid", "xmin", "xmax", "ymin", "ymax"), size)
     main = inside.groupBy("fid").agg(F.count("*").alias("n_points"), F.avg("z").alias("mean_height"), F.max("z").alias("max_height"), F.avg("intensity").alias("mean_intensity"), F.avg("ndvi").alias("mean_ndvi"), rugosity().alias("rugosity"))
     known = candidates(crowns, vegetation).union(candidates(crowns, all_points)).distinct().withColumn("_known", F.lit(True))
     out = edge_flag(crowns, extent, edge_buffer).join(main, "fid", "left").join(everything, "fid", "left").join(vertical(inside), "fid", "left").join(known, "fid", "left")
