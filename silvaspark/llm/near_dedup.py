@@ -12,8 +12,11 @@ Jaccard index). Six registers make a band.
    registers estimate it, corrected for registers that agree by chance; the pair is verified
    on the full sets. Components of these links are formed, and the texts that hubs left apart
    try again with hubs among what is left, while that links many.
-3. What is still in a band with texts of another component is paired with all of them: links
-   within a component change nothing. Estimates and then the full sets decide on these pairs.
+3. Texts that are still in a band with texts of another component are verified against all of
+   them in blocks: groups that bands hold together and whose sets are of like size are cut into
+   blocks, and a task gets two blocks, so a group of any size is spread and no pair is a row but
+   the links found. Where the registers of two blocks let a link be, products of their
+   incidence matrices give the sizes of all intersections of full sets.
 
 A pair with an index of 0.8 shares none of the 48 bands with a probability below 1e-6.
 """
@@ -39,8 +42,10 @@ REGISTERS = BANDS * ROWS
 SLACK, SMALL = 6.0, 128
 #: Bits of the map of texts that are verified: at most 2^16 rows of 64 bits, at any size of input.
 MAP_BITS = 1 << 22
-#: Rounds of hubs, at most, before all that is left in a band is paired.
-HUB_ROUNDS = 4
+#: Rounds of hubs before what is left is verified in blocks; texts of a block.
+HUB_ROUNDS, BLOCK = 2, 256
+#: Shingles that a product takes at once.
+COLUMNS = 1 << 14
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
@@ -106,6 +111,12 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, (same - by_chance) / (1 - by_chance))
 
 
+def lowest(percent: int) -> float:
+    """The estimate below which a pair is not verified."""
+    threshold = percent / 100
+    return threshold - SLACK * math.sqrt(threshold * (1 - threshold) / REGISTERS)
+
+
 def sketch_table(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n (shingles), sig (digest of the set), regs (registers as bytes, null for an empty set)."""
 
@@ -127,9 +138,8 @@ def _bit(name: str):
     return F.pmod(F.xxhash64(F.col(name)), F.lit(MAP_BITS))
 
 
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts of ids in pairs, and of few others: a bit map of bounded size drops the rest before the shuffle."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of ``ids``, and of few others: a bit map of bounded size drops the rest before the shuffle."""
     bits = ids.select(_bit("id").alias("_b")).groupBy(F.shiftright("_b", 6).alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(_b % 64 as int)))").alias("_bits"))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null and text is not null").withColumn("_w", F.shiftright(_bit("id"), 6))
     return rows.join(F.broadcast(bits), "_w").filter(F.getbit("_bits", (_bit("id") % 64).cast("int")) == 1).select("id", "text")
@@ -137,7 +147,7 @@ def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs ``a``, ``b`` whose full shingle sets have an index of at least ``percent`` hundredths."""
-    texts = written(_texts(docs, pairs), "near-texts")
+    texts = written(_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id"))), "near-texts")
     left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
@@ -160,8 +170,7 @@ def estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs with their estimate ``e``, without those far below the threshold."""
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
     rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    threshold = percent / 100
-    low = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / REGISTERS)
+    low = lowest(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 4096):
@@ -195,16 +204,78 @@ def near_links(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> Da
         bands = written(_apart(bands, labels), "near-bands")
         if bands.isEmpty():
             return labels
-    # whatever still meets texts of another component
-    side = lambda x: bands.select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}"), *([F.col("of").alias(f"of_{x}")] if "of" in bands.columns else [F.col("id").alias(f"of_{x}")]))
-    left = side("a").join(side("b"), "key").filter(f"of_a > of_b and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    rest = left.select("a", "b").distinct()
-    if tried is not None:
-        rest = rest.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    guessed = written(estimated(rest, reps, percent), "near-rest")
-    if guessed.isEmpty():
-        return labels if labels is not None else reps.filter("false").select("id", F.col("id").alias("component"))
-    return components(links.union(verified(docs, guessed, words, percent)))
+    of = bands if "of" in bands.columns else bands.withColumn("of", F.col("id"))
+    more = written(block_links(docs, of, words, percent), "near-links")
+    return labels if labels is not None and more.isEmpty() else components(links.union(more))
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of pairs of different sets (not the diagonal), by products of slices of the incidence matrix."""
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    of, column = of[shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    width = int(column[-1]) + 1 if len(column) else 0
+    for low in range(0, width, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        part = np.zeros((len(sets), min(COLUMNS, width - low)), np.float32)
+        part[of[a:b], column[a:b] - low] = 1
+        out += part @ part.T
+    return out
+
+
+def likely(regs: np.ndarray, n: np.ndarray, percent: int) -> bool:
+    """Whether the registers let any two sets, of like size, reach the threshold."""
+    low = lowest(percent)
+    small = n <= SMALL
+    for i in range(len(regs) - 1):
+        like = 100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :])
+        if (like & (small[i] | small[i + 1 :] | (estimate(regs[i], regs[i + 1 :]) >= low))).any():
+            return True
+    return False
+
+
+def block_links(docs: DataFrame, bands: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links ``a``, ``b`` between texts of different components ``of`` that bands hold together."""
+    hubs = bands.groupBy("key").agg(F.min("id").alias("b"))
+    held = components(bands.select("key", F.col("id").alias("a")).join(hubs, "key").select("a", "b")).withColumnRenamed("component", "cluster")
+    # sizes within the threshold are in the same or in neighbouring classes; a group has two classes
+    ratio = math.log(100 / percent)
+    members = bands.select("id", "n", "of").distinct().join(held, "id").withColumn("c", F.floor(F.log("n") / ratio))
+    both = written(members.withColumn("g", F.explode(F.array("c", F.col("c") - 1))), "near-groups")
+    groups = both.groupBy("cluster", "g").agg(F.count("*").alias("k"), F.min("of").alias("of0"), F.max("of").alias("of1")).filter("of0 < of1").select("cluster", "g", F.ceil(F.col("k") / BLOCK).alias("blocks"))
+    placed = both.join(groups, ["cluster", "g"]).withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = placed.select("cluster", "g", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "id", "of")
+    rows = pairs.join(written(_texts(docs, both.select("id").distinct()), "near-texts"), "id")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        ids, of = table.column("id").to_pylist(), table.column("of").to_pylist()
+        sets = [shingles(t, words) for t in table.column("text").to_pylist()]
+        n = np.array([len(s) for s in sets], np.int64)
+        found: list[tuple[int, int]] = []
+        if likely(sketches(sets), n, percent):
+            both = intersections(sets)
+            a, b = np.nonzero(np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1))
+            root = {o: o for o in of}
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                if (p := find(of[x])) != (q := find(of[y])):
+                    root[p] = q
+                    found.append((ids[y], ids[x]))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return rows.groupBy("cluster", "g", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def _apart(bands: DataFrame, labels: DataFrame) -> DataFrame:
