@@ -409,12 +409,25 @@ def bilinear_resample(spark, sf):
     return rounded(raster.bilinear(band, RasterMeta(0.0, 1.0, 0.0, 1.0, 20, 20), _TARGET))
 
 
+def _covering(spark: SparkSession, source: RasterMeta) -> RasterMeta:
+    """Cells of 10 m of the national grid over all of a raster in UTM: from (0, 600), further west and north only if the raster is."""
+    (left, right, low, top), n = source.extent, spark.range(max(source.n_rows, source.n_cols) + 1).select(F.col("id").cast("double").alias("i"))
+    along = lambda x, y: n.select(x.alias("x"), y.alias("y"))
+    down, across = F.least(F.lit(top), low - F.col("i") * source.px_h), F.least(F.lit(right), left + F.col("i") * source.px_w)
+    outline = along(F.lit(left), down).union(along(F.lit(right), down)).union(along(across, F.lit(low))).union(along(across, F.lit(top)))
+    placed = geometry.reprojected(outline, geometry.UTM_29N, geometry.NATIONAL_GRID)
+    west, east, south, north = placed.agg(*[F.floor(F.min("x") / 10), F.ceil(F.max("x") / 10), F.floor(F.min("y") / 10), F.ceil(F.max("y") / 10)]).first()
+    west, north = min(0, west), max(60, north)
+    return RasterMeta(west * 10.0, 10.0, north * 10.0, -10.0, max(60, east) - west, north - min(0, south))
+
+
 @query()
 def reproject(spark, sf):
-    """A band from one transverse Mercator grid to cells of another."""
-    band = table(spark, sf, "bands").filter("row < 20").select("row", "col", F.col("B08_nir").alias("value"))
-    source, target = RasterMeta(574_500.0, 10.0, 4_391_700.0, -10.0, 20, 20), RasterMeta(0.0, 10.0, 600.0, -10.0, 60, 60)
-    return rounded(raster.bilinear(band, source, target, lambda df: geometry.reprojected(df, geometry.NATIONAL_GRID, geometry.UTM_29N)))
+    """A band from one transverse Mercator grid to cells of another; the grids have the rows that the table has."""
+    band = table(spark, sf, "bands").select("row", "col", F.col("B08_nir").alias("value"))
+    rows = (band.agg(F.max("row")).first()[0] or 0) + 1
+    source = RasterMeta(574_500.0, 10.0, 4_391_700.0, -10.0, 20, rows)
+    return rounded(raster.bilinear(band, source, _covering(spark, source), lambda df: geometry.reprojected(df, geometry.NATIONAL_GRID, geometry.UTM_29N)))
 
 
 @query(sql("dtm") + " select 0e0 as xmin, 100e0 as xmax, 0e0 as ymin, ceil(count(*) / 100e0) as ymax, -500e0 as buffered_xmin, 600e0 as buffered_xmax from dtm")
