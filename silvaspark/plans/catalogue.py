@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import geometry, spectral
 from ..operators import classify, correlate, crowns, features, points, raster, spatial, treetops
 from ..operators.grid import RasterMeta, dense, with_cell
-from ..params import Landscape
 from ..schema import BANDS, CORRELATION_FEATURES, INDICES
 from .fixtures import CROWN_META, EXTENT, sql, table, terrain_meta
 
@@ -329,7 +328,7 @@ def balanced_weights(spark, sf):
 def _scored(spark: SparkSession, sf: str) -> tuple[object, DataFrame]:
     rows = table(spark, sf, "bands").withColumn("fid", F.col("row"))
     split = classify.stratified_split(rows, ("(row * 7919 + col * 104729) % 1000003", "row", "col"))
-    model = classify.train_forest(split.filter("not is_test"), list(BANDS), Landscape(n_estimators=40, max_depth=12))
+    model = classify.train_forest(split.filter("not is_test"), list(BANDS))
     return model, classify.predict(model, split.filter("is_test"), list(BANDS))
 
 
