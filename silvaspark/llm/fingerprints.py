@@ -1,11 +1,12 @@
 """Fingerprints of documents: invertible Bloom lookup tables of paragraph digests.
 
-A text is cut at line feeds, and long paragraphs further at spaces chosen by the letters before
-them, so that an edit spoils only the stretches that it touches. Each stretch, with the number of
-its occurrence, gives a 64-bit digest; a table adds it to one cell in each of three parts: a
-count, the sum of digests and the sum of their checks. The difference of two tables holds only
-the digests that differ, and peeling cells that hold one digest recovers them. Where it stops
-short, both tables are made anew with more cells.
+A text is cut after line feeds, and long paragraphs further after spaces chosen by the letters
+before them, so that an edit spoils only the stretches that it touches. The stretches hold every
+byte, separators too. Each stretch, with the number of its occurrence, gives a 64-bit digest; a
+table adds it to one cell in each of three parts: a count, the sum of digests and the sum of
+their checks. The difference of two tables holds only the digests that differ, and peeling cells
+that hold one digest recovers them. Where it stops short, both tables are made anew with more
+cells.
 
 From the counts and the recovered digests follows the likeness, the Jaccard index of the digests.
 """
@@ -46,13 +47,14 @@ def digests(text: str) -> np.ndarray:
     cuts = np.unique(np.concatenate([bounds, chosen]))
     close = np.concatenate([[False], np.diff(cuts) < LEAST])
     cuts = cuts[~close | np.isin(cuts, bounds)]
-    over = np.flatnonzero(np.diff(cuts) > MOST)
+    # a stretch holds the separator that ends it; the text's end is none
+    edges = np.unique(np.minimum(cuts + 1, len(data)))
+    over = np.flatnonzero(np.diff(edges) > MOST)
     if len(over):
-        cuts = np.concatenate([cuts, *[np.arange(cuts[i] + MOST, cuts[i + 1], MOST) for i in over]])
-        cuts.sort()
-    starts, ends = cuts[:-1] + 1, cuts[1:]
-    some = ends > starts
-    found = np.sort(stretches(data, starts[some], ends[some]))
+        edges = np.concatenate([edges, *[np.arange(edges[i] + MOST, edges[i + 1], MOST) for i in over]])
+        edges.sort()
+    starts, ends = edges[:-1], edges[1:]
+    found = np.sort(stretches(data, starts, ends))
     first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, int)
     nth = np.arange(len(found)) - np.repeat(first, np.diff(np.concatenate([first, [len(found)]])))
     return mix(found + nth.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
