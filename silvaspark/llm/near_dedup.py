@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import map_slices, slices, texts_of, written
 from .components import components
@@ -290,6 +291,19 @@ def _apart(bands: DataFrame, labels: DataFrame) -> DataFrame:
     return of.join(two, "key").select("key", "id", "n", "of", F.when(F.col("of") == F.col("of1"), F.col("hub2")).otherwise(F.col("hub1")).alias("hub"))
 
 
+def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """For every row: doc_id, n, component_id, kept, sig (null without shingles or doc_id)."""
+    table = written(sketch_table(docs, words), "near-sketches")
+    some = table.filter("n > 0 and doc_id is not null")
+    classes = written(some.groupBy("sig").agg(F.min("doc_id").alias("id")), "near-classes")
+    reps = written(some.join(classes, (F.col("doc_id") == F.col("id")) & (some.sig == classes.sig), "left_semi").groupBy(F.col("doc_id").alias("id"), "n", "sig").agg(F.first("regs").alias("regs")).select("id", "n", "regs"), "near-reps")
+    labels = near_links(docs, reps, words, percent)
+    named = classes.join(labels, "id", "left").select("sig", F.coalesce("component", "id").alias("component_id"))
+    out = table.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("sig")).alias("sig")).join(named, "sig", "left")
+    own = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n", own.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == own)).alias("kept"), "sig")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """For every row: doc_id, n_shingles, component_id, kept.
 
@@ -299,18 +313,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     that repeat a doc_id are each labelled by their own text; if such a doc_id is the least of
     several classes, it joins them. An empty table gives no rows; other columns are ignored.
     """
-    table = written(sketch_table(docs, words), "near-sketches")
-    some = table.filter("n > 0 and doc_id is not null")
-    classes = written(some.groupBy("sig").agg(F.min("doc_id").alias("id")), "near-classes")
-    reps = written(some.join(classes, (F.col("doc_id") == F.col("id")) & (some.sig == classes.sig), "left_semi").groupBy(F.col("doc_id").alias("id"), "n", "sig").agg(F.first("regs").alias("regs")).select("id", "n", "regs"), "near-reps")
-    labels = near_links(docs, reps, words, percent)
-    named = classes.join(labels, "id", "left").select("sig", F.coalesce("component", "id").alias("component_id"))
-    out = table.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("sig")).alias("sig")).join(named, "sig", "left")
-    own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == own)).alias("kept"))
+    return _labelled(docs, words, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``near_duplicates`` keeps."""
-    gone = near_duplicates(docs, words, percent).filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    """The rows of ``docs``, all columns, that ``near_duplicates`` keeps.
+
+    Rows go by doc_id; where only some rows of a doc_id go, by the digest of their shingles too.
+    """
+    labelled = written(_labelled(docs, words, percent).filter("doc_id is not null").select(F.col("doc_id").alias("_id"), "sig", "kept"), "near-labels")
+    gone = labelled.groupBy("_id").agg(F.bool_or("kept").alias("_some"), F.bool_and("kept").alias("_all")).filter("not _all").select("_id", "_some")
+    same = F.col("doc_id").cast("long") == F.col("_id")
+    rest = docs.join(gone.select("_id"), same, "left_anti")
+    mixed = written(gone.filter("_some").select("_id"), "near-mixed")
+    if mixed.isEmpty():
+        return rest
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            sigs = [hashlib.blake2b(shingles(t, words).tobytes(), digest_size=16).digest() for t in texts_of(part)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sigs, pa.binary())], names=[*part.schema.names, "_sig"])
+
+    some = docs.join(mixed, same, "left_semi")
+    lost = labelled.filter("not kept").select("_id", F.col("sig").alias("_gone")).distinct()
+    kept = some.mapInArrow(signed, StructType([*docs.schema.fields, StructField("_sig", BinaryType())])).join(lost, same & (F.col("_sig") == F.col("_gone")), "left_anti").drop("_sig")
+    return rest.union(kept)

@@ -2,7 +2,7 @@
 
 import random
 
-from silvaspark.llm import fingerprints
+from silvaspark.llm import fingerprints, near_dedup
 
 
 def test_every_byte_is_in_a_digest():
@@ -13,3 +13,13 @@ def test_every_byte_is_in_a_digest():
             other = text[:at] + ("\t" if text[at] in " \n" else "Z") + text[at + 1 :]
             assert fingerprints.digests(other).tolist() != whole, (text[:20], at)
     assert fingerprints.digests("a\n\nb").tolist() != fingerprints.digests("a\nb").tolist()
+
+
+def test_near_stage_removes_rows_not_ids(spark):
+    """A clean text stays though another row of its doc_id is a near copy; so do blanks."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(2, a, "x"), (5, a, "y"), (5, b, "z"), (5, " ", "w"), (7, a, "v"), (None, a, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    found = near_dedup.without_near_duplicates(docs)
+    assert found.columns == docs.columns
+    assert sorted(r.kept for r in found.collect()) == ["u", "w", "x", "z"]
