@@ -14,6 +14,7 @@ around the hits, and their weights from a logistic fit, tell abuse from a quotat
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -27,6 +28,8 @@ from .common import Memo, held_out, map_slices, texts_of
 # Common English terms of abuse.
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "imbecile", "bastard", "vermin", "filthy")
 QUOTES = "\"“”„«»‹›"
+#: Words between non-letters, as the lexicon is learned from; each quotation mark is a place of its own.
+PLACES = re.compile(rf"[^\W_]+|[{QUOTES}]")
 #: Words that make the words after them a report.
 REPORTS = frozenset("said says called quoted quote reported term word wrote".split())
 #: Words of context on each side of a hit.
@@ -128,32 +131,32 @@ class Automaton:
 FEATURES = 9
 
 
-def features(text: str, hits_of: Memo) -> list[float]:
+def features(text: str, places_of: Memo) -> list[float]:
     """What a whole text says for the fit: hits by kind, their densest window, different terms."""
-    words = text.split()
-    at = [i for i, w in enumerate(words) if hits_of[w]]
+    places = [p for w in text.split() for p in places_of[w]]
+    at = [i for i, p in enumerate(places) if p[1]]
     if not at:
         return [1.0] + [0.0] * (FEATURES - 1)
     quoted, inside = set(), False
-    for i, word in enumerate(words):
-        marks = sum(map(word.count, QUOTES))
-        if inside or marks:
+    for i, (word, _, _) in enumerate(places):
+        if word in QUOTES:
+            inside = not inside
+        elif inside:
             quoted.add(i)
-        inside ^= marks % 2 == 1
     if inside:  # a mark that is never closed quotes nothing
-        quoted = {i for i in quoted if sum(map(words[i].count, QUOTES)) >= 2}
+        quoted = {i for i in quoted if places[i][2]}
     count = [0.0, 0.0, 0.0, 0.0]
     weight, terms = {}, set()
     for i in at:
-        cost, term = hits_of[words[i]]
-        near = {w.strip(",.:;").lower() for w in words[max(0, i - 4) : i]}
+        cost, term = places[i][1]
+        near = {w for w, _, _ in places[max(0, i - 4) : i]}
         reported = i in quoted or bool(near & REPORTS)
         count[2 * bool(cost) + reported] += 1
         weight[i] = (0.5 if cost else 1.0) * (0.3 if reported else 1.0)
         terms.add(term)
     densest = max(sum(weight[j] for j in at if abs(i - j) <= WINDOW) for i in at) if len(at) <= 64 else _densest(at, weight)
     direct = count[0] + count[2]
-    return [1.0, *np.log1p(count).tolist(), math.log1p(densest), math.log1p(len(terms)), math.log1p(1000 * direct / len(words)), float(len(terms) > 1)]
+    return [1.0, *np.log1p(count).tolist(), math.log1p(densest), math.log1p(len(terms)), math.log1p(1000 * direct / len(places)), float(len(terms) > 1)]
 
 
 def _densest(at: list[int], weight: dict[int, float]) -> float:
@@ -176,12 +179,21 @@ class Model:
         automaton = Automaton(self.terms)
 
         def find(word: str) -> tuple[int, str] | None:
-            word = word.lower()
-            if not word.isalnum():
-                word = word.strip("".join({c for c in word if not c.isalnum()}))
             return automaton.find(word) if len(word) > 2 else None
 
-        return Memo(find, MEMO_WORDS)
+        def places(word: str) -> list[tuple[str, tuple[int, str] | None, bool]]:
+            """The places of a word between blanks: each with its hit, and whether the word is quoted by itself."""
+            word = word.lower()
+            if word.isalnum():
+                return [(word, find(word), False)]
+            parts = PLACES.findall(word)
+            hits, alone = [find(p) for p in parts], sum(map(word.count, QUOTES)) >= 2
+            first = next((i for i, p in enumerate(parts) if p not in QUOTES), None)
+            if first is not None and not any(hits):  # a mark in place of a letter
+                hits[first] = find(word.strip("".join({c for c in word if not c.isalnum()})))
+            return [(p, h, alone) for p, h in zip(parts, hits, strict=True)]
+
+        return Memo(places, MEMO_WORDS)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -500, 500)))

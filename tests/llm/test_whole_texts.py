@@ -2,7 +2,10 @@
 
 import random
 
-from silvaspark.llm import fingerprints, near_dedup
+import numpy as np
+import pytest
+
+from silvaspark.llm import fingerprints, near_dedup, toxicity
 
 
 def test_every_byte_is_in_a_digest():
@@ -23,3 +26,14 @@ def test_near_stage_removes_rows_not_ids(spark):
     found = near_dedup.without_near_duplicates(docs)
     assert found.columns == docs.columns
     assert sorted(r.kept for r in found.collect()) == ["u", "w", "x", "z"]
+
+
+def test_terms_behind_marks_are_hits():
+    hits = toxicity.Model({"idiot": True, "scum": False}).hits()
+    names = lambda text: toxicity.features(text, hits)[1:5]
+    for text in ("plain/idiot", "so,idiot", "well...idiot", "a_idiot", "(x)idiot", "好。idiot"):
+        assert names(text) == pytest.approx([np.log(2), 0, 0, 0]), text
+    assert names("scum/idiot") == pytest.approx([np.log(3), 0, 0, 0])
+    assert names("you idi*t") == pytest.approx([0, 0, np.log(2), 0])  # a mark in place of a letter
+    assert names('he,"scum/idiot" then') == pytest.approx([0, np.log(3), 0, 0])
+    assert names('an open " mark idiot') == pytest.approx([np.log(2), 0, 0, 0])
