@@ -30,7 +30,7 @@ from .common import Memo, map_slices, texts_of
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-LEAST = {"assign": 6, "access": 20, "hex": 24}
+LEAST = {"assign": 6, "access": 20, "hex": 24, "field": 8}
 KINDS = ("assign", "access", "hex", "field")
 #: A word that a match can lie in or begin in.
 MAY_MATCH = re.compile(r"password|passwd|secret|token|api_?key", re.IGNORECASE | re.ASCII), re.compile(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
@@ -62,6 +62,21 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
+def beyond(text: str, start: int, end: int, base: list[Span]) -> list[tuple[int, int]]:
+    """The parts of a span outside of the base spans, without blanks around them; parts of marks alone go."""
+    parts, at = [], start
+    for s, e, _ in sorted(base):
+        if s < end and at < e:
+            parts.append((at, s))
+            at = e
+    out = []
+    for a, b in [*parts, (at, end)]:
+        part = text[a:b] if a < b else ""
+        if any(c.isalnum() for c in part):
+            out.append((a + len(part) - len(part.lstrip()), b - len(part) + len(part.rstrip())))
+    return out
+
+
 def role(token: str) -> str:
     """What a token is to its neighbours."""
     low = token.lower()
@@ -314,14 +329,15 @@ class Finder:
                     elif tag == INSIDE:
                         found[-1][1] = b
             at += len(line) + 1
-        return base, [(a, b, "field") for a, b in found if b - a >= 8 and not any(s < b and a < e for s, e, _ in base)]
+        return base, [(a, b, "field") for span in found if span[1] - span[0] >= LEAST["field"] for a, b in beyond(text, *span, base)]
 
 
 def scan(docs: DataFrame, model: Field | None = None) -> DataFrame:
     """Spans of secrets in whole texts: doc_id, n_assign, n_access, n_hex, n_field, base_sha256, spans.
 
     ``spans`` has kind:start:end in code points, by start, then kind; ``base_sha256`` is the digest
-    of the base spans alone. One scan without a shuffle after the fit. Null texts are empty; a text
+    of the base spans alone. Of the field's spans, of ``LEAST`` code points or more, the parts outside
+    of base spans are given. One scan without a shuffle after the fit. Null texts are empty; a text
     without secrets has counts of 0 and empty spans. Rows with equal or null doc_id each give a
     row; an empty table gives none; columns other than doc_id and text are ignored.
     """

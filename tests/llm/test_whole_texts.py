@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from silvaspark.llm import fingerprints, near_dedup, toxicity
+from silvaspark.llm import fingerprints, near_dedup, secrets, toxicity
 
 
 def test_every_byte_is_in_a_digest():
@@ -37,3 +37,20 @@ def test_terms_behind_marks_are_hits():
     assert names("you idi*t") == pytest.approx([0, 0, np.log(2), 0])  # a mark in place of a letter
     assert names('he,"scum/idiot" then') == pytest.approx([0, np.log(3), 0, 0])
     assert names('an open " mark idiot') == pytest.approx([np.log(2), 0, 0, 0])
+
+
+def test_field_spans_go_on_beyond_base_spans():
+    class Whole(secrets.Field):
+        def viterbi(self, scores):
+            return [secrets.BEGIN] + [secrets.INSIDE] * (len(scores) - 1)
+
+    made = secrets.made_lines(random.Random(5), 40)
+    field = secrets.train(made, [["digits=0", "named=0"]] * len(made), rounds=2)
+    finder = secrets.Finder(Whole(field.weights, field.steps, field.starts))
+    finder.kinds = dict.fromkeys(["password=abc123!9f8e7d6c"], 3)
+    text = "password=abc123!9f8e7d6c"
+    base, more = finder.spans(text)
+    assert base == [(0, 15, "assign")] and more == [(15, 24, "field")]
+    assert secrets.masked(text, base + more, "*") == "**"
+    assert secrets.beyond("ab cd ef", 0, 8, [(3, 5, "hex")]) == [(0, 2), (6, 8)]
+    assert secrets.beyond("ab cd, ", 0, 6, [(0, 5, "hex")]) == []
