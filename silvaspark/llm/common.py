@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a Python function holds at once; an Arrow batch is cut into such slices.
 SLICE_ROWS = 512
+#: Bytes of text that a Python function holds at once, beside one longer text.
+SLICE_BYTES = 8 << 20
 #: Characters of SQL white space: space and the control characters 9 to 13.
 BLANKS = "\\x20\\x09-\\x0D"
 
@@ -38,26 +43,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def _own_root(spark: SparkSession) -> str:
+    """The folder set by setCheckpointDir; without one a new folder of this machine, in local mode only."""
     set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_dir.isDefined():
         return set_dir.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     root = "file://" + tempfile.mkdtemp(prefix="silvaspark-")
     spark.sparkContext.setCheckpointDir(root)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if root:
-            spark.sparkContext.setCheckpointDir(root)
-        else:
-            _own_root(spark)
-    return df.checkpoint()
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to a new shared folder and read it back.
 
@@ -93,10 +89,26 @@ def range_bucket(df: DataFrame, key: str, n: int) -> Column:
     return tree(0, len(bounds))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+def calm() -> None:
+    """Let the collector of cycles look less often: the functions here keep many objects and make no cycles."""
+    gc.set_threshold(200_000, 20, 100)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, most: int = SLICE_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Parts of the batches, of at most ``rows`` rows and about ``most`` bytes of ``column``; a longer text is a part of its own."""
+    calm()
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        sizes = None
+        if column in batch.schema.names:
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            end = min(start + rows, batch.num_rows)
+            if sizes is not None:
+                before = sizes[start - 1] if start else 0
+                end = min(end, max(start + 1, int(np.searchsorted(sizes, before + most, "right"))))
+            yield batch.slice(start, end - start)
+            start = end
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
@@ -132,3 +144,47 @@ class Memo(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+class Kept:
+    """What a function of many strings gives for each, kept for about ``limit`` strings.
+
+    Strings that were asked for lately stay: when the younger half is full it becomes the older
+    one, and what is asked for from the older one returns to the younger. Strings of over
+    ``longest`` characters are not kept.
+    """
+
+    def __init__(self, function: Callable[[list[str]], list], limit: int, longest: int = 64):
+        self.function, self.limit, self.longest = function, limit // 2, longest
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+
+    def __call__(self, keys: list[str]) -> list:
+        """The values of different keys, in their order."""
+        young, old = self.young, self.old
+        found = [young.get(k) for k in keys]
+        gaps = [i for i, v in enumerate(found) if v is None]
+        new = []
+        for i in gaps:
+            value = old.get(keys[i])
+            if value is None:
+                new.append(i)
+            else:
+                found[i] = young[keys[i]] = value
+        if new:
+            for i, value in zip(new, self.function([keys[i] for i in new]), strict=True):
+                found[i] = value
+                if len(keys[i]) <= self.longest:
+                    young[keys[i]] = value
+        if len(young) > self.limit:
+            self.old, self.young = young, {}
+        return found
+
+
+def word_table(texts: list[str]) -> tuple[list[str], list[int], list[int]]:
+    """Texts cut at every space: the different words, the word of each place, and each text's first place."""
+    lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    coded = lists.flatten().dictionary_encode()
+    n = len(coded.dictionary)
+    words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), coded.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ") if n else []
+    return words, coded.indices.to_numpy().tolist(), lists.offsets.to_numpy().tolist()
