@@ -1,21 +1,30 @@
 """Ids of a byte-level vocabulary by the tokenizers library, with frequent words kept.
 
 The library first cuts a text by its pattern, and merges within what it cut. In a text without
-runs of white space it cuts before every space and line feed, so words can be encoded apart, and
-the ids of a word are kept for the next time. Any other text goes to the library whole.
+runs of white space it cuts before every space and line feed, so words can be encoded apart: a
+slice's texts are cut together, every different word is looked up once, and the ids of a word are
+kept for the next time. A word of letters and marks after them is cut by the pattern into just
+these two, so its pieces go to the library's merges; other words go through the whole library.
+Any other text goes to the library whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from .common import Kept, word_table
+
 #: Words whose ids a task keeps, and the longest such word.
 MEMO_WORDS, LONGEST = 600_000, 64
+#: Marks the first word of a text, which has no space before it.
 FIRST = "\0"
+#: Letters, and ASCII marks after them, at a word's place: after a space, a line feed or at a text's start.
+PLAIN = re.compile("([\0\n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
 
 
 class ByteTokens:
@@ -23,58 +32,77 @@ class ByteTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
+        self.model = self.library.model
+        self.raw = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        #: The vocabulary's letters for bytes: what shows stands for itself, the others for the letters from 256 on.
+        self.letters = dict.fromkeys(shown) | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        self.letters |= {b: chr(b) for b in shown}
+        self.cores = Kept(lambda cores: [self.merged(c) for c in cores], MEMO_WORDS // 2, LONGEST)
+        self.kept = Kept(self.fresh, MEMO_WORDS, LONGEST)
         #: Whether an id's piece starts with a space or a line feed, in the vocabulary's letters for bytes.
         self.opens = np.zeros(self.library.get_vocab_size(), bool)
         for piece, i in self.library.get_vocab().items():
-            self.opens[i] = piece[0] in "\u0120\u010a"
+            self.opens[i] = piece[0] in "ĠĊ"
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, by the library alone."""
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def words(self, text: str) -> list[str] | None:
-        """A text cut before each space and line feed; the space itself is left out, the first word is marked."""
-        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or not text.replace("\n", "").isprintable() or any(s in text for s in self.special):
-            return None
-        found = text.replace("\n", " \n").split(" ")
-        if found[0]:
-            found[0] = FIRST + found[0]
-        else:
-            del found[0]
-        return found
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def apart(self, text: str) -> bool:
+        """Whether a text may be cut before each space and line feed."""
+        return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or not text.replace("\n", "").isprintable() or any(s in text for s in self.special))
+
+    def merged(self, piece: str) -> bytes:
+        """The ids of what the pattern leaves in one piece."""
+        return b"".join([self.raw[t.id] for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+
+    def fresh(self, words: list[str]) -> list[bytes]:
+        """The ids of words."""
+        cut = [PLAIN.fullmatch(w) for w in words]
+        cores = [(m[2] if m[1] else " " + m[2]) for m in cut if m]
+        marks = [m[3] for m in cut if m and m[3]]
+        known = list({*cores, *marks, "\n"})
+        ids = dict(zip(known, self.cores(known), strict=True))
+        rest = self.through([w for w, m in zip(words, cut, strict=True) if not m])
+        core = iter(cores)
+        return [(ids["\n"] if m[1] == "\n" else b"") + ids[next(core)] + (ids[m[3]] if m[3] else b"") if m else rest[w] for w, m in zip(words, cut, strict=True)]
+
+    def through(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words by the whole library: many words go to the library as one text, and come apart where an id opens a word.
 
-    def fresh(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words: many words go to the library as one text, and come apart where an id opens a word."""
-        alone = [w for w in words if w in ("", "\n") or w[0] == FIRST]
-        found = dict(zip(alone, self.whole([w[1:] if w[:1] == FIRST else w or " " for w in alone]), strict=True))
-        rest = [w for w in words if w not in found]
+        The mark alone is the empty first word before a space or a line feed, the empty word a last space.
+        """
+        found: dict[str, bytes] = {FIRST: b""}
+        alone = [w for w in words if w in ("", "\n") or w[0] == FIRST and w != FIRST]
+        rest = [w for w in words if w not in ("", "\n") and w[0] != FIRST]
         for i in range(0, len(rest), 2_000):
             part = rest[i : i + 2_000]
-            ids = np.array(self.library.encode("".join([w if w[0] == "\n" else " " + w for w in part]), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.library.encode_batch_fast(["".join([w if w[0] == "\n" else " " + w for w in part])], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.opens[ids])
-            if len(at) != len(part):
-                raise AssertionError("an id spans two words")
+            if len(at) != len(part):  # an id spans two words, or opens within one
+                found |= zip(part, self.whole([w if w[0] == "\n" else " " + w for w in part]), strict=True)
+                continue
             raw, ends = ids.tobytes(), (at * 4).tolist() + [4 * len(ids)]
             found |= {w: raw[a:b] for w, a, b in zip(part, ends, ends[1:], strict=False)}
+        found |= zip(alone, self.whole([w[1:] if w[:1] == FIRST else w or " " for w in alone]), strict=True)
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without added special tokens."""
-        cut = [self.words(t) if t else [] for t in texts]
-        known = self.memo
-        new = list({w for words in cut if words is not None for w in words if w not in known})
-        kept = known
-        if new:
-            found = self.fresh(new)
-            if len(known) + len(new) > MEMO_WORDS:
-                kept, self.memo = known | found, found if len(found) <= MEMO_WORDS else {}
-            else:
-                known |= found
-            if any(len(w) > LONGEST for w in new):
-                self.memo = {w: v for w, v in self.memo.items() if len(w) <= LONGEST}
-        other = iter(self.whole([t for t, words in zip(texts, cut, strict=True) if words is None]))
-        return [next(other) if words is None else b"".join([kept[w] for w in words]) for words in cut]
+        out: list[bytes] = [b""] * len(texts)
+        cut = [i for i, t in enumerate(texts) if t and self.apart(t)]
+        if cut:
+            words, at, first = word_table([FIRST + texts[i].replace("\n", " \n") for i in cut])
+            known = self.kept(words)
+            ids = [known[k] for k in at]
+            for i, a, b in zip(cut, first, first[1:], strict=False):
+                out[i] = b"".join(ids[a:b])
+        there = set(cut)
+        other = [i for i, t in enumerate(texts) if t and i not in there]
+        for i, coded in zip(other, self.whole([texts[i] for i in other]), strict=True):
+            out[i] = coded
+        return out
 
 
 @lru_cache(maxsize=2)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -68,25 +70,40 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def range_bucket(df: DataFrame, key: str, n: int) -> Column:
-    """The range, 0 to n-1, of an integer ``key``, by approximate quantiles of all rows.
+def tie(text: str = "text") -> Column:
+    """A number that orders rows of one doc_id: a hash of the text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def range_bucket(df: DataFrame, key: str, n: int) -> tuple[Column, int]:
+    """Ranges of an integer ``key`` and then of ``tie()``, by approximate quantiles of all rows, and their number, about ``n``.
 
     The bounds are literals in a balanced tree of conditions, so every use gives the same
-    ranges, whatever executor runs it. A null key is in range 0.
+    ranges, whatever executor runs it. A null key comes before all others. A key that holds so many
+    rows that several bounds fall on it is cut further by ranges of the hash.
     """
     if n <= 1:
-        return F.lit(0)
-    probabilities = [i / n for i in range(1, n)]
-    values = df.select(F.col(key).cast("double")).stat.approxQuantile(key, probabilities, 1 / (4 * n))
-    bounds = sorted({int(v) for v in values})
+        return F.lit(0), 1
+    number, least = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), -(2.0**63)
+    values = df.select(F.coalesce(F.col(key).cast("double"), F.lit(least)).alias(key)).stat.approxQuantile(key, [i / n for i in range(1, n)], 1 / (4 * n))
+    times = Counter(int(v) for v in values)
+    bounds = sorted(times)
+    base = [0, *accumulate(1 + (times[b] if times[b] > 1 else 0) for b in bounds)]
+    place = F.shiftright(tie(), 40) + F.lit(1 << 23)  # the 24 highest bits, from 0 on
+
+    def leaf(i: int) -> Column:
+        if i == len(bounds) or times[bounds[i]] == 1:
+            return F.lit(base[i])
+        inside = F.lit(base[i] + 1) + F.shiftright(place * F.lit(times[bounds[i]]), 24)
+        return F.when(number == F.lit(bounds[i]), inside).otherwise(F.lit(base[i]))
 
     def tree(low: int, high: int) -> Column:
         if low == high:
-            return F.lit(low)
+            return leaf(low)
         middle = (low + high) // 2
-        return F.when(F.col(key) > bounds[middle], tree(middle + 1, high)).otherwise(tree(low, middle))
+        return F.when(number > F.lit(bounds[middle]), tree(middle + 1, high)).otherwise(tree(low, middle))
 
-    return tree(0, len(bounds))
+    return tree(0, len(bounds)).cast("int"), base[-1] + 1
 
 
 def calm() -> None:

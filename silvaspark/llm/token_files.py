@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_tokens import tokens
-from .common import partitions, range_bucket, shared_dir, slices, texts_of
+from .common import partitions, range_bucket, shared_dir, slices, texts_of, tie
 
 MAGIC = b"TOKIDX01"
 MANIFEST = "part int, name string, n_docs long, n_tokens long"
@@ -68,12 +68,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 
     Returns the manifest, which is also written: a part's number, file name, documents, tokens.
     Null texts are empty and have the end id only. Rows of a null doc_id come first, rows of the
-    same doc_id side by side, by text. An empty table writes no files.
+    same doc_id side by side, by a hash of their text; equal rows are documents of their own. An
+    empty table writes no files; other columns are not read. A text is held whole; memory is
+    bounded by a slice of texts (``SLICE_BYTES``) or one longer text, and the numbers of a part.
     """
     spark = docs.sparkSession
-    n = partitions(spark)
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    dealt = rows.withColumn("part", range_bucket(rows, "doc_id", n)).repartitionById(n, F.col("part")).sortWithinPartitions("doc_id", "text")
+    part, n = range_bucket(rows, "doc_id", partitions(spark))
+    dealt = rows.withColumn("part", part).repartitionById(n, F.col("part")).sortWithinPartitions("doc_id", tie(), "text")
     fs, at = _place(folder)
     if isinstance(fs, pa.fs.LocalFileSystem):
         fs.create_dir(at)
@@ -131,6 +133,9 @@ def read_tokens(spark: SparkSession, folder: str, manifest: list[tuple[int, str,
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """Write all documents' ids to files in the shared folder, and read the files back."""
+    """Write all documents' ids to files in the shared folder, and read the files back: the columns of ``read_tokens``.
+
+    Null, empty and repeated rows as in ``write_tokens``; an empty table gives no rows.
+    """
     folder = shared_dir(docs.sparkSession, "token-files")
     return read_tokens(docs.sparkSession, folder, write_tokens(docs, tokenizer_path, folder, end_id), with_ids)
