@@ -1,16 +1,20 @@
 """Documents packed into sequences of several context sizes, without a shuffle.
 
 Each partition packs what it reads. A document gives whole windows of the longest size while it
-can; its rest is routed to the smallest tier, a power of two, that holds it. Each tier's rests,
-longest first, open windows of the longest size; the gap that a rest leaves is filled with the
-longest rests of shorter tiers that fit, and what is left of the gap with a cut from a short one.
-A window that stays open waits for the next documents. At the end of a partition the last window
-is cut into sequences of the shorter context sizes, so nothing is padded. Sequences are dealt to
-step groups so that every group has sequences of small and of large cost.
+can; its rest is routed to the smallest tier, a power of two, that holds it. Then each tier is
+packed, the longest first: its longest rest opens a sequence of the tier's own size, and the gap
+is filled with the longest rests of shorter tiers that fit, and what is left of the gap with a cut
+from a short one. What cannot fill a sequence of its tier waits for the next documents; at the end
+of a partition it is cut into sequences whose lengths are powers of two, so nothing is padded.
+
+Sequences are dealt to step groups of the same number of tokens, whatever their sizes: the longest
+and costliest first, each to the group of the least cost that has room. A group is closed only
+when it is full; sequences beyond the last full group wait for the next ones.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -23,8 +27,13 @@ from .byte_tokens import tokens
 from .common import slices, texts_of
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
-#: Documents packed at once; a batch's open window goes on to the next.
+#: Documents packed at once; what stays open goes on to the next.
 BATCH_ROWS = 1024
+#: Step groups that are balanced together.
+POOL = 64
+
+#: A packed sequence: its length, its cost, and its pieces as doc_id, start, length, crc32, the document's tokens, offset.
+Sequence = tuple[int, int, list[tuple]]
 
 
 class Rest:
@@ -45,122 +54,163 @@ class Rest:
         return piece
 
 
+def sequence(pieces: list[Rest]) -> Sequence:
+    """Pieces side by side; the cost is that of attention within each piece."""
+    offset, cost, rows = 0, 0, []
+    for p in pieces:
+        n = len(p)
+        rows.append((p.doc_id, p.start, n, zlib.crc32(p.ids), p.total, offset))
+        offset, cost = offset + n, cost + n * n
+    return offset, cost, rows
+
+
 class Packer:
-    def __init__(self, window: int = 1024, least: int = 64, step: int = 16):
-        if window & (window - 1) or least & (least - 1):
-            raise ValueError("context sizes are powers of two")
-        self.window, self.least, self.step = window, least, step
-        self.open: list[Rest] = []
-        self.sequences: list[list[Rest]] = []
+    """Packs documents into sequences of ``window`` ids and of each power of two down to ``least``."""
+
+    def __init__(self, window: int = 1024, least: int = 256):
+        if window & (window - 1) or least & (least - 1) or not 0 < least <= window:
+            raise ValueError("context sizes are powers of two, the least no more than the window")
+        self.window, self.least, self.count = window, least, 0
+        self.sizes = [window >> k for k in range(window.bit_length()) if window >> k >= least]
+        self.tiers: dict[int, list[tuple[int, int, Rest]]] = {size: [] for size in self.sizes}
+        self.waiting = dict.fromkeys(self.sizes, 0)
 
     def tier(self, length: int) -> int:
-        """The smallest context size, ``least`` or more, that holds ``length`` ids."""
+        """The smallest context size that holds ``length`` ids."""
         return max(self.least, 1 << (length - 1).bit_length())
 
-    def add(self, doc_id: int | None, ids: bytes, tiers: dict[int, list[tuple[int, int, Rest]]]) -> None:
-        """Whole windows of a document; its rest goes to its tier."""
-        rest = Rest(doc_id, ids, 0, len(ids) // 4)
-        while len(rest) >= self.window:
-            self.sequences.append([rest.cut(self.window)])
-        if len(rest):
-            self.route(rest, tiers)
-
-    def route(self, rest: Rest, tiers: dict[int, list[tuple[int, int, Rest]]]) -> None:
-        self.count = getattr(self, "count", 0) + 1
-        insort(tiers.setdefault(self.tier(len(rest)), []), (len(rest), self.count, rest))
-
-    def take(self, gap: int, tiers: dict[int, list[tuple[int, int, Rest]]]) -> Rest | None:
-        """The longest rest that fits a gap, from the longest tier that has one; else a cut of the shortest rest."""
-        for size in sorted(tiers, reverse=True):
-            if at := bisect_right(tiers[size], (gap, float("inf"))):
-                return tiers[size].pop(at - 1)[2]
-        for size in sorted(tiers):
-            if tiers[size]:
-                rest = tiers[size].pop(0)[2]
-                piece = rest.cut(gap)
-                self.route(rest, tiers)
-                return piece
-        return None
-
-    def pack(self, documents: Iterator[tuple[int | None, bytes]]) -> list[list[Rest]]:
-        """The sequences that the documents fill; the window left open is kept."""
-        tiers: dict[int, list[tuple[int, int, Rest]]] = {}
+    def route(self, rest: Rest) -> None:
+        self.count += 1
+        size = self.tier(len(rest))
+        insort(self.tiers[size], (len(rest), self.count, rest))
+        self.waiting[size] += len(rest)
+
+    def pop(self, size: int, at: int) -> Rest:
+        n, _, rest = self.tiers[size].pop(at)
+        self.waiting[size] -= n
+        return rest
+
+    def take(self, gap: int, most: int) -> Rest:
+        """From the tiers up to ``most``: the longest rest that fits a gap, of the longest tier that has one; else a cut of the shortest rest."""
+        below = [size for size in self.sizes if size <= most]
+        for size in below:
+            if at := bisect_right(self.tiers[size], (gap, float("inf"))):
+                return self.pop(size, at - 1)
+        size = next(size for size in reversed(below) if self.tiers[size])
+        rest = self.pop(size, 0)
+        piece = rest.cut(gap)
+        self.route(rest)
+        return piece
+
+    def pack(self, documents: Iterator[tuple[int | None, bytes]]) -> Iterator[Sequence]:
+        """The sequences that the documents fill, tier after tier; what fills none waits."""
         for doc_id, ids in documents:
-            self.add(doc_id, ids, tiers)
-        while True:
-            gap = self.window - sum(map(len, self.open))
-            rest = self.take(gap, tiers)
-            if rest is None:
-                break
-            self.open.append(rest)
-            if len(rest) == gap:
-                self.sequences.append(self.open)
-                self.open = []
-        done, self.sequences = self.sequences, []
-        return done
-
-    def last(self) -> list[list[Rest]]:
-        """The window left open, cut into sequences whose lengths are powers of two."""
-        found, left = [], sum(map(len, self.open))
-        while left:
-            size = 1 << (left.bit_length() - 1)
-            sequence, room = [], size
+            rest = Rest(doc_id, ids, 0, len(ids) // 4)
+            while len(rest) >= self.window:
+                yield sequence([rest.cut(self.window)])
+            if len(rest):
+                self.route(rest)
+        for size in self.sizes:
+            while self.tiers[size] and sum(n for s, n in self.waiting.items() if s <= size) >= size:
+                pieces = [self.pop(size, -1)]
+                gap = size - len(pieces[0])
+                while gap:
+                    pieces.append(self.take(gap, size))
+                    gap -= len(pieces[-1])
+                yield sequence(pieces)
+
+    def last(self) -> Iterator[Sequence]:
+        """What waits, cut into sequences whose lengths are powers of two."""
+        left = [rest for size in self.sizes for _, _, rest in reversed(self.tiers[size])]
+        self.__init__(self.window, self.least)
+        total = sum(map(len, left))
+        while total:
+            size = room = min(self.window, 1 << (total.bit_length() - 1))
+            pieces = []
             while room:
-                if len(self.open[0]) <= room:
-                    piece = self.open.pop(0)
-                else:
-                    piece = self.open[0].cut(room)
-                sequence.append(piece)
-                room -= len(piece)
-            found.append(sequence)
-            left -= size
-        return found
-
-    def groups(self, sequences: list[list[Rest]]) -> list[int]:
-        """A step group for each sequence: by attention cost, dealt forth and back."""
-        n = -(-len(sequences) // self.step)
-        order = sorted(range(len(sequences)), key=lambda i: (-sum(len(p) ** 2 for p in sequences[i]), i))
-        group = [0] * len(sequences)
-        for place, i in enumerate(order):
-            lap, at = divmod(place, n)
-            group[i] = n - 1 - at if lap % 2 else at
-        return group
-
-
-def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, least: int = 64, step: int = 16, end_id: int = 0) -> DataFrame:
-    """Pieces of all documents in sequences of at most ``window`` ids: the columns of ``SCHEMA``.
-
-    Every id of a document and its end id lies in one piece. ``sequence_id`` and ``step_group``
+                pieces.append(left.pop(0) if len(left[0]) <= room else left[0].cut(room))
+                room -= len(pieces[-1])
+            yield sequence(pieces)
+            total -= size
+
+
+def balanced(sequences: list[Sequence], n: int, room: int) -> list[int]:
+    """A group, 0 to n - 1, for each sequence: at most ``room`` tokens each, sizes spread evenly, costs as even as they can be.
+
+    The longest and costliest first, each to the group of the fewest tokens and then of the least
+    cost. Lengths are powers of two, so all fit if their sum does.
+    """
+    groups, of = [(0, 0, k) for k in range(n)], [0] * len(sequences)
+    for i in sorted(range(len(sequences)), key=lambda i: (-sequences[i][0], -sequences[i][1], i)):
+        size, cost, k = heapq.heappop(groups)
+        of[i] = k
+        heapq.heappush(groups, (size + sequences[i][0], cost + sequences[i][1], k))
+    return of
+
+
+def chosen(sequences: list[Sequence], room: int) -> tuple[list[Sequence], list[Sequence]]:
+    """Sequences of ``room`` tokens together, of every size in proportion, and the others."""
+    places: dict[int, list[int]] = {}
+    for i, (size, _, _) in enumerate(sequences):
+        places.setdefault(size, []).append(i)
+    share = {i: k / len(of) for of in places.values() for k, i in enumerate(of)}
+    taken, full = set(), 0
+    for i in sorted(share, key=lambda i: (share[i], i)):
+        if full + sequences[i][0] <= room:
+            full += sequences[i][0]
+            taken.add(i)
+    return [s for i, s in enumerate(sequences) if i in taken], [s for i, s in enumerate(sequences) if i not in taken]
+
+
+def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, least: int = 256, step: int = 16, end_id: int = 0) -> DataFrame:
+    """Pieces of all documents in sequences of ``window`` ids and of shorter tiers: the columns of ``SCHEMA``.
+
+    Every id of a document and its end id lies in one piece. ``tier`` is the length of the
+    sequence; those below ``least`` come from the end of a partition. A step group holds
+    ``step * window`` tokens, less only where a partition ends. ``sequence_id`` and ``step_group``
     carry the partition in their upper bits, so they are unique and no count is needed first; a
-    partition read again gives the same rows. Memory holds one batch of documents. Null texts are
-    empty and have the end id only; rows with equal or null doc_id are documents of their own; an
-    empty table gives no rows; other columns are not read.
+    partition read again gives the same rows.
+
+    Memory holds a slice of documents, or one longer document, and the numbers of ``2 * POOL``
+    step groups. Null texts are empty and have the end id only; rows with equal or null doc_id are
+    documents of their own; an empty table gives no rows; other columns are not read.
     """
+    if step & (step - 1):
+        raise ValueError("the sequences of a step are a power of two")
+    room = step * window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = tokens(tokenizer_path), Packer(window, least, step)
+        encoder, packer = tokens(tokenizer_path), Packer(window, least)
         end = end_id.to_bytes(4, "little")
         context = TaskContext.get()
         high = (context.partitionId() if context else 0) << 40
-        next_sequence = next_group = 0
+        pending: list[Sequence] = []
+        held = next_sequence = next_group = 0
 
-        def rows(sequences: list[list[Rest]]) -> pa.RecordBatch:
+        def rows(done: list[Sequence], n: int) -> pa.RecordBatch:
             nonlocal next_sequence, next_group
-            groups, out = packer.groups(sequences), []
-            for k, sequence in enumerate(sequences):
-                offset, total = 0, sum(map(len, sequence))
-                for p in sequence:
-                    out.append((p.doc_id, p.start, len(p), zlib.crc32(p.ids), p.total, high + next_sequence + k, offset, packer.tier(total) if total >= least else total, high + next_group + groups[k]))
-                    offset += len(p)
-            next_sequence += len(sequences)
-            next_group += max(groups, default=-1) + 1
+            out = []
+            for k, ((size, _, pieces), group) in enumerate(zip(done, balanced(done, n, room), strict=True)):
+                for doc_id, start, length, crc, total, offset in pieces:
+                    out.append((doc_id, start, length, crc, total, high + next_sequence + k, offset, size, high + next_group + group))
+            next_sequence, next_group = next_sequence + len(done), next_group + n
             kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
             columns = list(zip(*out, strict=True)) or [()] * 9
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
         for batch in slices(batches, BATCH_ROWS):
             coded = encoder.encode(texts_of(batch))
-            yield rows(packer.pack(zip(batch.column("doc_id").to_pylist(), (c + end for c in coded), strict=True)))
-        yield rows(packer.last())
+            for one in packer.pack(zip(batch.column("doc_id").to_pylist(), (c + end for c in coded), strict=True)):
+                pending.append(one)
+                held += one[0]
+                if held >= 2 * POOL * room:
+                    now, pending = chosen(pending, POOL * room)
+                    held = sum(s[0] for s in pending)
+                    yield rows(now, POOL)
+        for one in packer.last():
+            pending.append(one)
+            held += one[0]
+        if pending:
+            yield rows(pending, -(-held // room))
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, SCHEMA)
