@@ -63,11 +63,12 @@ def masked(stack: DataFrame, fraction: DataFrame, features: list[str]) -> DataFr
     return stack.join(good, ["row", "col"], "left").select("row", "col", *[F.when(F.col("_ok"), F.col(f)).alias(f) for f in features])
 
 
-def bilinear(raster: DataFrame, source: RasterMeta, target: RasterMeta, place: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Resample to the cells of ``target``, weights of NULL neighbours shared among the others.
+def bilinear(raster: DataFrame, source: RasterMeta, target: RasterMeta, place: Callable[[DataFrame], DataFrame] | None = None, values: tuple[str, ...] = ("value",)) -> DataFrame:
+    """Resample the columns ``values`` to the cells of ``target``, weights of NULL neighbours shared among the others.
 
-    ``place`` turns the columns ``x`` and ``y``, target cell centres, into the source's coordinates
-    where the coordinate systems differ.
+    All columns go through one join. ``place`` turns the columns ``x`` and ``y``, target cell
+    centres, into the source's coordinates where the coordinate systems differ. Cells off the
+    source, or beside NULLs only, are left out of the first and NULL in the second case.
     """
     centres = dense(raster.sparkSession, target).withColumn("x", F.lit(target.x0) + (F.col("col") + 0.5) * target.px_w).withColumn("y", F.lit(target.y0) + (F.col("row") + 0.5) * target.px_h)
     # written, so that filters do not repeat the long expressions of a projection
@@ -81,6 +82,24 @@ def bilinear(raster: DataFrame, source: RasterMeta, target: RasterMeta, place: C
             weight = (1 - F.abs(F.col("v") - r)) * (1 - F.abs(F.col("u") - c))
             held = lambda e, n: F.greatest(F.lit(0), F.least(e, F.lit(n - 1))).cast("int")
             corners.append(F.struct(held(r, source.n_rows).alias("r"), held(c, source.n_cols).alias("c"), weight.alias("w")))
-    spread = inside.select("row", "col", F.explode(F.array(*corners)).alias("k")).select("row", "col", F.col("k.r").alias("r"), F.col("k.c").alias("c"), F.col("k.w").alias("w"))
-    cells = raster.filter("value is not null").select(F.col("row").alias("r"), F.col("col").alias("c"), "value")
-    return spread.join(cells, ["r", "c"]).groupBy("row", "col").agg(F.try_divide(F.sum(F.col("w") * F.col("value")), F.sum("w")).alias("value"))
+    spread = inside.select("row", "col", F.explode(F.array(*corners)).alias("k")).select(F.col("row").alias("_row"), F.col("col").alias("_col"), F.col("k.r").alias("row"), F.col("k.c").alias("col"), F.col("k.w").alias("_w"))
+    some = F.coalesce(*[F.col(v) for v in values]).isNotNull()
+    cells = raster.filter(some).select("row", "col", *values)
+    weighed = [F.try_divide(F.sum(F.col("_w") * F.col(v)), F.sum(F.when(F.col(v).isNotNull(), F.col("_w")))).alias(v) for v in values]
+    return spread.join(cells, ["row", "col"]).groupBy("_row", "_col").agg(*weighed).withColumnsRenamed({"_row": "row", "_col": "col"})
+
+
+def band_stack(grids: list[tuple[DataFrame, RasterMeta, tuple[str, ...]]], target: RasterMeta, place: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """A row for each cell of ``target`` with all bands, each grid of bands resampled to it in one join; NULL off a grid."""
+    out = dense(grids[0][0].sparkSession, target)
+    for bands, source, names in grids:
+        out = out.join(bilinear(bands, source, target, place, names), ["row", "col"], "left")
+    return out
+
+
+def with_rasters(stack: DataFrame, rasters: dict[str, DataFrame | None]) -> tuple[DataFrame, list[str]]:
+    """A stack with further rasters ``row, col, value`` as columns, and the names added; a missing raster adds none."""
+    names = [name for name, raster in rasters.items() if raster is not None]
+    for name in names:
+        stack = stack.join(rasters[name].select("row", "col", F.col("value").alias(name)), ["row", "col"], "left")
+    return stack, names

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import bounds, contains, edges
+from .grid import RasterMeta
+
 
 def box_cells(boxes: DataFrame, size: float, x0: Column | float = 0.0, y0: Column | float = 0.0) -> DataFrame:
     """A row for each cell of ``size`` that a box ``xmin..ymax`` overlaps: ``_cx``, ``_cy``."""
@@ -22,8 +25,6 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float = 50.0) ->
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float = 50.0) -> DataFrame:
     """Points strictly inside polygons ``fid, rings``; what is on an edge is outside."""
-    from ..functions.geometry import bounds, contains
-
     boxed = polygons.filter("rings is not null").withColumn("_b", bounds(F.col("rings"))).select("*", "_b.*").drop("_b")
     placed = points.withColumn("_cx", F.floor(F.col("x") / size)).withColumn("_cy", F.floor(F.col("y") / size))
     joined = placed.join(box_cells(boxed, size), ["_cx", "_cy"])
@@ -43,3 +44,24 @@ def box_centres(boxes: DataFrame, pixel: float = 1.0) -> DataFrame:
     some = boxes.filter((first("xmin") <= last("xmax")) & (first("ymin") <= last("ymax")))
     wide = some.withColumn("col", F.explode(F.sequence(first("xmin"), last("xmax"))))
     return wide.withColumn("row", F.explode(F.sequence(first("ymin"), last("ymax")))).withColumn("row", F.col("row").cast("int")).withColumn("col", F.col("col").cast("int"))
+
+
+def polygon_cells(polygons: DataFrame, meta: RasterMeta) -> DataFrame:
+    """Cells ``fid, row, col`` of a raster whose centres lie in polygons ``fid, rings`` of any shape, holes left out.
+
+    Each edge is cut by the centre lines of the rows that it crosses; along a row the crossings,
+    in order, begin and end stretches of cells by turns. A centre on an edge belongs to the stretch
+    that begins there. ``fid`` is a key; polygons without rings or off the raster have no cells.
+    """
+    sides = polygons.filter("rings is not null").select("fid", F.explode(F.flatten(F.transform("rings", edges))).alias("e"))
+    across, down = lambda x: (x - F.lit(meta.x0)) / F.lit(meta.px_w), lambda y: (y - F.lit(meta.y0)) / F.lit(meta.px_h)
+    sides = sides.select("fid", across(F.col("e.x0")).alias("u0"), down(F.col("e.y0")).alias("v0"), across(F.col("e.x1")).alias("u1"), down(F.col("e.y1")).alias("v1"))
+    first = F.greatest(F.lit(0), F.ceil(F.least("v0", "v1") - 0.5))
+    last = F.least(F.lit(meta.n_rows), F.ceil(F.greatest("v0", "v1") - 0.5)) - 1
+    cuts = sides.filter(first <= last).withColumn("row", F.explode(F.sequence(first, last)))
+    cuts = cuts.withColumn("u", F.col("u0") + (F.col("row") + 0.5 - F.col("v0")) * (F.col("u1") - F.col("u0")) / (F.col("v1") - F.col("v0")))
+    rows = cuts.groupBy("fid", "row").agg(F.sort_array(F.collect_list("u")).alias("us"))
+    turns = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.size("us") / 2).cast("int") - 1)))
+    low = F.greatest(F.lit(0), F.ceil(F.col("us")[F.col("k") * 2] - 0.5))
+    high = F.least(F.lit(meta.n_cols), F.ceil(F.col("us")[F.col("k") * 2 + 1] - 0.5)) - 1
+    return turns.filter(low <= high).select("fid", F.col("row").cast("int").alias("row"), F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("col"))

@@ -75,7 +75,14 @@ def treetop_local_maxima(spark, sf):
     return treetops.numbered(_tops(spark, sf), ORDER)
 
 
-@query()
+@query(
+    _MAX.replace("with ", "with recursive ", 1)
+    + """, o as materialized (select row_number() over (order by z desc, point_key, x, y, intensity) as i, point_key, x, y, z from tops),
+r as (select 0::bigint as i, []::struct(i bigint, x double, y double)[] as kept union all
+  select o.i, case when len(list_filter(kept, lambda k: (k.x - o.x) * (k.x - o.x) + (k.y - o.y) * (k.y - o.y) < 4e0)) = 0 then list_append(kept, {'i': o.i, 'x': o.x, 'y': o.y}) else kept end from r join o on o.i = r.i + 1),
+k as (select unnest(kept).i as i from (select kept from r order by i desc limit 1))
+select point_key, x, y, round(z, 8) as z from o join k using (i)"""
+)
 def min_distance_filter(spark, sf):
     kept = treetops.suppress(_tops(spark, sf), 2.0, ("point_key", "x", "y", "intensity"))
     return rounded(kept.select("point_key", "x", "y", "z"), "z")
@@ -289,6 +296,36 @@ def polygon_rasterize(spark, sf):
     return spatial.box_centres(table(spark, sf, "training")).select("fid", "row", "col")
 
 
+_CORNERS = (("xmin", "ymin"), ("xmin + 9.3e0", "ymin + 2.1e0"), ("xmin + 4.2e0", "ymin + 4.7e0"), ("xmin + 3.4e0", "ymin + 8.6e0"))
+_HOLE = (("xmin + 2.6e0", "ymin + 2.2e0"), ("xmin + 5.1e0", "ymin + 2.9e0"), ("xmin + 3.3e0", "ymin + 4.8e0"))
+_SIDES = " union all ".join(f"select fid, type, {a[0]} as u0, {a[1]} as v0, {b[0]} as u1, {b[1]} as v1 from training" for ring in (_CORNERS, _HOLE) for a, b in zip(ring, (*ring[1:], ring[0]), strict=True))
+_POLYGON_CELLS = (
+    sql("training", "bands")
+    + f", sides as ({_SIDES}), cuts as (select fid, type, r.i::int as row, u0 + (r.i + 0.5e0 - v0) * (u1 - u0) / (v1 - v0) as u from sides, range(0, 100) r(i) where (v0 > r.i + 0.5e0) <> (v1 > r.i + 0.5e0)),"
+    + " cells as (select fid, type, row, c.i::int as col from cuts, range(0, 100) c(i) where u > c.i + 0.5e0 group by all having count(*) % 2 = 1)"
+)
+
+
+def _polygons(spark: SparkSession, sf: str) -> DataFrame:
+    """Training polygons that are no boxes: concave, each with a hole."""
+    ring = lambda corners: F.array(*[F.struct(F.expr(x).alias("x"), F.expr(y).alias("y")) for x, y in corners])
+    return table(spark, sf, "training").select("fid", "type", F.array(ring(_CORNERS), ring(_HOLE)).alias("rings"))
+
+
+@query(_POLYGON_CELLS + " select fid, row, col from cells")
+def polygon_cells(spark, sf):
+    return spatial.polygon_cells(_polygons(spark, sf), CROWN_META)
+
+
+@query(_POLYGON_CELLS + ", named as (select *, case trim(type) when '213' then 1 when '311' then 2 when '312' then 3 when '313' then 4 when '321' then 5 when '410' then 6 end as cid from cells) select n.fid, n.cid as class_id, n.row, n.col, round(b.B02_blue, 8) as B02_blue, round(b.B12_swir2, 8) as B12_swir2 from named n join bands b on n.row = b.row and n.col = b.col where n.cid is not null and b.scl not in (0, 1, 2, 3, 8, 9, 10, 11)")
+def polygon_samples(spark, sf):
+    """Complete pixels under training polygons of any shape; cloudy pixels are incomplete."""
+    labelled = classify.with_class(_polygons(spark, sf))
+    cells = spatial.polygon_cells(labelled, CROWN_META).join(labelled.select("fid", "class_id"), "fid")
+    stack = spectral.masked_by_scene(table(spark, sf, "bands").drop("class_id"))
+    return rounded(classify.samples(cells, stack, list(BANDS)).select("fid", "class_id", "row", "col", "B02_blue", "B12_swir2"))
+
+
 _SAMPLES = sql("training", "bands") + _CENTRES + ", named as (select *, case trim(type) when '213' then 1 when '311' then 2 when '312' then 3 when '313' then 4 when '321' then 5 when '410' then 6 end as class_id from cells), s as (select n.fid, n.class_id, n.row, n.col, " + ", ".join(f"b.{b}" for b in BANDS) + " from named n join bands b on n.row = b.row and n.col = b.col where n.class_id is not null)"
 
 
@@ -302,7 +339,16 @@ def training_samples(spark, sf):
     return rounded(_samples(spark, sf).select("fid", "class_id", "row", "col", "B02_blue", "B12_swir2"))
 
 
-_NAMES = "case class_id when 1 then 'Olive grove' when 2 then 'Cork and holm oak' when 3 then 'Eucalyptus' when 4 then 'Other broadleaf' when 5 then 'Maritime pine' when 6 then 'Shrubland' else 'class_' || class_id end"
+# Class id, class name, colour.
+_CLASSES = (
+    (1, "Olive grove", "255,200,0", "#ffc800"),
+    (2, "Cork/Holm oak montado", "34,139,34", "#228b22"),
+    (3, "Eucalyptus", "0,100,200", "#0064c8"),
+    (4, "Other broadleaf", "100,180,100", "#64b464"),
+    (5, "Maritime pine", "180,120,60", "#b4783c"),
+    (6, "Shrubland", "200,180,130", "#c8b482"),
+)
+_NAMES = "case class_id " + " ".join(f"when {i} then '{name}'" for i, name, _, _ in _CLASSES) + " else 'class_' || class_id end"
 
 
 @query(_SAMPLES + f" select class_id, count(*) as n, round(100e0 * count(*) / sum(count(*)) over (), 8) as pct, {_NAMES} as class_name from s group by class_id")
@@ -354,28 +400,42 @@ def rf_importance(spark, sf):
     return classify.importances(spark, _scored(spark, sf)[0], list(BANDS))
 
 
-@query(" union all ".join(f"select {i} as class_id, '{n}' as class_name, '{c}' as rgb, '#{''.join(f'{int(x):02x}' for x in c.split(','))}' as hex" for i, n, c in [(1, "Olive grove", "230,184,0"), (2, "Cork and holm oak", "140,81,10"), (3, "Eucalyptus", "128,205,193"), (4, "Other broadleaf", "90,180,60"), (5, "Maritime pine", "1,102,94"), (6, "Shrubland", "246,232,195"), (-1, "NoData", "0,0,0")]))
+@query("select * from (values " + ", ".join(f"({i}, '{name}', '{rgb}', '{hex}')" for i, name, rgb, hex in (*_CLASSES, (-1, "NoData", "0,0,0", "#000000"))) + ") t(class_id, class_name, rgb, hex)")
 def class_legend(spark, sf):
     return classify.legend(spark)
 
 
-@query()
+_REACH = ", reach as (select n as a, n as b from cells union select reach.a, other.n from reach join cells one on one.n = reach.b join cells other on other.kind = one.kind and ((other.col = one.col and abs(other.row - one.row) = 1) or (other.row = one.row and abs(other.col - one.col) = 1)))"
+_LABELS = _REACH + ", labels as (select c.row, c.col, c.kind, l.component from cells c join (select a, min(b) as component from reach group by a) l on l.a = c.n)"
+_SEGMENTS = sql("segments").replace("with ", "with recursive ", 1)
+_BACKGROUND = _SEGMENTS + ", cells as (select row, col, 0 as kind, row::bigint * 100 + col as n from segments where crown_id = 0)" + _LABELS
+_POLYGONS = _SEGMENTS + ", cells as (select row, col, crown_id as kind, row::bigint * 100 + col as n from segments where crown_id > 0)" + _LABELS
+
+
+@query(_BACKGROUND + " select row, col, component from labels")
 def connected_components(spark, sf):
     background = table(spark, sf, "segments").filter("crown_id = 0")
     return crowns.regions(background, terrain_meta(spark, sf)).select("row", "col", "component")
 
 
-@query()
+@query(
+    _BACKGROUND
+    + """, size as (select ceil(count(*) / 100e0) as rows from segments),
+inner_ as (select component from labels, size group by component having not bool_or(row = 0 or col = 0 or row = rows - 1 or col = 99)),
+beside as (select l.component, s.crown_id from labels l join inner_ using (component) join segments s on s.crown_id > 0 and ((s.col = l.col and abs(s.row - l.row) = 1) or (s.row = l.row and abs(s.col - l.col) = 1))),
+single as (select component, min(crown_id) as fill from beside group by component having count(distinct crown_id) = 1)
+select s.row, s.col, coalesce(f.fill, s.crown_id)::int as crown_id from segments s left join labels l on l.row = s.row and l.col = s.col left join single f on f.component = l.component"""
+)
 def fill_holes(spark, sf):
     return crowns.fill_holes(table(spark, sf, "segments"), terrain_meta(spark, sf))
 
 
-@query()
+@query(_POLYGONS + " select component as fid, kind as crown_id, row, col from labels")
 def polygonize(spark, sf):
     return crowns.polygonise(table(spark, sf, "segments"), terrain_meta(spark, sf))
 
 
-@query()
+@query(_POLYGONS + " select component as fid, any_value(kind) as crown_id, count(*)::double as area, min(row) as row0, max(row) as row1, min(col) as col0, max(col) as col1 from labels group by component")
 def polygon_measures(spark, sf):
     return crowns.polygon_measures(crowns.polygonise(table(spark, sf, "segments"), terrain_meta(spark, sf)), 1.0)
 
@@ -397,15 +457,49 @@ def watershed(spark, sf):
     return crowns.watershed(raster.inverted(cells), tops, terrain_meta(spark, sf))
 
 
-_TARGET = RasterMeta(0.0, 2.0, 0.0, 2.0, 10, 10)
+def _band_rows(spark: SparkSession, sf: str) -> int:
+    return (table(spark, sf, "bands").agg(F.max("row")).first()[0] or 0) + 1
+
 
+def _resampled(names: str, source: str, scale: float, rows: str, cols: int) -> str:
+    """SQL of bilinear values of the columns of a table at the centres of cells of ``scale`` source cells."""
+    centres = f"select r.i::int as row, c.i::int as col, (c.i + 0.5e0) * {scale} - 0.5e0 as u, (r.i + 0.5e0) * {scale} - 0.5e0 as v from range(0, ({rows})::bigint) r(i), range(0, {cols}) c(i)"
+    corners = "select g.row, g.col, floor(v) + dr.i as r, floor(u) + dc.i as c, (1 - abs(v - (floor(v) + dr.i))) * (1 - abs(u - (floor(u) + dc.i))) as w from g, range(0, 2) dr(i), range(0, 2) dc(i)"
+    return f"select k.row, k.col, {names} from (with g as ({centres}) {corners}) k, (select max(row) as r1, max(col) as c1 from {source}) m join {source} b on b.row = greatest(0, least(k.r, m.r1)) and b.col = greatest(0, least(k.c, m.c1)) group by k.row, k.col"
 
-@query(sql("bands") + """, g as (select r.i::int as row, c.i::int as col, (c.i + 0.5e0) * 2 - 0.5e0 as u, (r.i + 0.5e0) * 2 - 0.5e0 as v from range(0, 10) r(i), range(0, 10) c(i)),
-k as (select g.row, g.col, floor(v) + dr.i as r, floor(u) + dc.i as c, (1 - abs(v - (floor(v) + dr.i))) * (1 - abs(u - (floor(u) + dc.i))) as w from g, range(0, 2) dr(i), range(0, 2) dc(i))
-select k.row, k.col, round(sum(w * B08_nir) / sum(w), 8) as value from k join bands b on b.row = greatest(0, least(k.r, 19)) and b.col = greatest(0, least(k.c, 19)) group by k.row, k.col""")
+
+@query(sql("bands") + " " + _resampled("round(sum(w * B08_nir) / sum(w), 8) as value", "bands", 2.0, "select ceil((max(row) + 1) / 2e0) from bands", 10))
 def bilinear_resample(spark, sf):
-    band = table(spark, sf, "bands").filter("row < 20").select("row", "col", F.col("B08_nir").alias("value"))
-    return rounded(raster.bilinear(band, RasterMeta(0.0, 1.0, 0.0, 1.0, 20, 20), _TARGET))
+    band, rows = table(spark, sf, "bands").select("row", "col", F.col("B08_nir").alias("value")), _band_rows(spark, sf)
+    return rounded(raster.bilinear(band, RasterMeta(0.0, 1.0, 0.0, 1.0, 20, rows), RasterMeta(0.0, 2.0, 0.0, 2.0, 10, -(-rows // 2))))
+
+
+_FINE, _COARSE = BANDS[:4], (*BANDS[4:], "scl")
+_COARSE_SQL = ", coarse as (select (row / 2)::int as row, (col / 2)::int as col, " + ", ".join(_COARSE) + " from bands where row % 2 = 0 and col % 2 = 0)"
+_STACK = sql("bands") + _COARSE_SQL + ", up as (" + _resampled(", ".join(f"sum(w * {b}) / sum(w) as {b}" for b in _COARSE), "coarse", 0.5, "select max(row) + 1 from bands", 20) + ")"
+
+
+def _scene_stack(spark: SparkSession, sf: str) -> DataFrame:
+    """Bands of 10 m, and bands and scene classes of 20 m, on one grid of 10 m, masked, as reflectance."""
+    bands, rows = table(spark, sf, "bands"), _band_rows(spark, sf)
+    coarse = bands.filter("row % 2 = 0 and col % 2 = 0").select((F.col("row") / 2).cast("int").alias("row"), (F.col("col") / 2).cast("int").alias("col"), *_COARSE)
+    fine = RasterMeta(0.0, 1.0, 0.0, 1.0, 20, rows)
+    stack = raster.band_stack([(bands, fine, tuple(_FINE)), (coarse, RasterMeta(0.0, 2.0, 0.0, 2.0, 10, -(-rows // 2)), tuple(_COARSE))], fine)
+    return spectral.reflectance(spectral.masked_by_scene(stack))
+
+
+@query(_STACK + " select b.row, b.col, " + ", ".join(f"round(case when up.scl not in (0, 1, 2, 3, 8, 9, 10, 11) then {t}.{n} / 10000e0 end, 8) as {n}" for t, names in (("b", _FINE), ("up", BANDS[4:])) for n in names) + " from bands b join up on b.row = up.row and b.col = up.col")
+def band_stack(spark, sf):
+    """Every band on the grid of the finest ones, NULL under clouds, as reflectance."""
+    return rounded(_scene_stack(spark, sf).select("row", "col", *BANDS))
+
+
+@query(sql("bands", "mds") + ", m as (select floor(row / 2)::int as row, floor(col / 2)::int as col, avg(value) as v from mds where value <> -9999e0 group by 1, 2) select b.row, b.col, round(b.B08_nir, 8) as B08_nir, round(m.v, 8) as height from bands b left join m on m.row = b.row and m.col = b.col")
+def stack_features(spark, sf):
+    """A stack with the index rasters that exist as further features; one that is missing adds no column."""
+    height = raster.from_nodata(table(spark, sf, "mds"), -9999.0).filter("value is not null").groupBy(F.floor(F.col("row") / 2).cast("int").alias("row"), F.floor(F.col("col") / 2).cast("int").alias("col")).agg(F.avg("value").alias("value"))
+    stack, names = raster.with_rasters(table(spark, sf, "bands").select("row", "col", "B08_nir"), {"height": height, "absent": None})
+    return rounded(stack.select("row", "col", "B08_nir", *names))
 
 
 def _covering(spark: SparkSession, source: RasterMeta) -> RasterMeta:
