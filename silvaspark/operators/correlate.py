@@ -24,14 +24,23 @@ def used(crowns: DataFrame, features: list[str], min_points: int = 30) -> DataFr
 
 
 def ranks(frame: DataFrame, features: list[str]) -> DataFrame:
-    """Average ranks of each feature. Counts of equal values are ranked, not rows, so few rows go to one task where values repeat."""
-    frame = written(frame, "features")
-    out = frame
-    for f in features:
-        counts = frame.groupBy(f).agg(F.count("*").alias("_n"))
-        ranked = counts.withColumn(f"_r_{f}", F.sum("_n").over(Window.orderBy(f)) - (F.col("_n") - 1) / 2).select(f, f"_r_{f}")
-        out = out.join(ranked, f)
-    return out.select(*[F.col(f"_r_{f}").alias(f) for f in features])
+    """Average ranks of each feature, over rows without NULLs.
+
+    Counts of different values of all features go through one range partitioning; a rank is the
+    number of rows in the ranges before, one number for a feature and range, and those before it in
+    its range. No task sorts a whole feature.
+    """
+    rows = written(frame.select(*features).withColumn("_id", F.monotonically_increasing_id()), "features")
+    long = rows.select("_id", F.explode(F.array(*[F.struct(F.lit(k).alias("_f"), F.col(f).cast("double").alias("_v")) for k, f in enumerate(features)])).alias("_c")).select("_id", "_c.*")
+    counts = long.groupBy("_f", "_v").agg(F.count("*").alias("_n")).repartitionByRange("_f", "_v").withColumn("_p", F.spark_partition_id())
+    counts = written(counts, "rank-counts")
+    sums = counts.groupBy("_f", "_p").agg(F.sum("_n").alias("_s"))
+    # one row for a feature and range
+    before = sums.withColumn("_base", F.sum("_s").over(Window.partitionBy("_f").orderBy("_p")) - F.col("_s")).select("_f", "_p", "_base")
+    within = F.sum("_n").over(Window.partitionBy("_f", "_p").orderBy("_v"))
+    ranked = counts.withColumn("_within", within).join(F.broadcast(before), ["_f", "_p"]).select("_f", "_v", (F.col("_base") + F.col("_within") - (F.col("_n") - 1) / 2).alias("_r"))
+    wide = long.join(ranked, ["_f", "_v"]).groupBy("_id").agg(*[F.max(F.when(F.col("_f") == k, F.col("_r"))).alias(f) for k, f in enumerate(features)])
+    return wide.select(*features)
 
 
 def correlations(frame: DataFrame, features: list[str], method: str = "pearson") -> DataFrame:

@@ -35,29 +35,16 @@ def regions(cells: DataFrame, meta: RasterMeta, offsets=FOUR, value: str | None
     n_cols = meta.n_cols
 
     def label(frame: pd.DataFrame) -> pd.DataFrame:
-        at = {rc: i for i, rc in enumerate(zip(frame["row"], frame["col"], strict=True))}
-        values = frame[value].tolist() if value else None
-        parent = list(range(len(frame)))
-
-        def find(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for (r, c), i in at.items():
-            for dr, dc in offsets:
-                j = at.get((r + dr, c + dc))
-                if j is not None and (values is None or values[i] == values[j]):
-                    a, b = find(i), find(j)
-                    if a != b:
-                        parent[a] = b
         number = frame["row"].to_numpy(np.int64) * n_cols + frame["col"].to_numpy(np.int64)
-        least: dict[int, int] = {}
-        roots = [find(i) for i in range(len(frame))]
-        for root, n in zip(roots, number, strict=True):
-            least[root] = min(least.get(root, n), n)
-        return frame[["row", "col", *keep]].assign(local=[least[r] for r in roots])
+        frame = frame.iloc[np.argsort(number, kind="stable")]
+        rows, cols = frame["row"].to_numpy(np.int64), frame["col"].to_numpy(np.int64)
+        number = rows * n_cols + cols
+        a, b = beside(rows, cols, [o for o in offsets if o > (0, 0)])
+        if value:
+            values = frame[value].to_numpy()
+            same = values[a] == values[b]
+            a, b = a[same], b[same]
+        return frame[["row", "col", *keep]].assign(local=number[least(len(frame), a, b)])
 
     local = written(placed.groupBy("_tr", "_tc").applyInPandas(label, f"row int, col int{kind}, local long"), "regions")
     # a region never has more labels than tiles; only cells at a tile's border link them
@@ -68,13 +55,43 @@ def regions(cells: DataFrame, meta: RasterMeta, offsets=FOUR, value: str | None
     return local.join(names.withColumnRenamed("id", "local"), "local").select("row", "col", *keep, "component")
 
 
+def beside(rows: np.ndarray, cols: np.ndarray, offsets) -> tuple[np.ndarray, np.ndarray]:
+    """The places of cells and of those of their neighbours that are there; cells are sorted by row and column, and differ."""
+    span = int(cols.max(initial=0) - cols.min(initial=0)) + 3
+    key = rows * span + (cols - cols.min(initial=0) + 1)
+    found = []
+    for dr, dc in offsets:
+        to = key + dr * span + dc
+        at = np.searchsorted(key, to)
+        at[at == len(key)] = 0
+        hit = np.flatnonzero(key[at] == to)
+        found.append((hit, at[hit]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the least one that links ``a``, ``b`` reach: roots take lesser roots, then paths are halved."""
+    parent = np.arange(n)
+    while len(a):
+        ra, rb = parent[a], parent[b]
+        apart = ra != rb
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
+    return parent
+
+
 def watershed(relief: DataFrame, seed_cells: DataFrame, meta: RasterMeta, compactness: float = 0.001) -> DataFrame:
     """Labels ``row, col, crown_id`` by flooding from seeds over ``relief`` (row, col, value), lowest first.
 
     Water spreads to eight neighbours and never leaves the mask, so regions of the mask flood apart.
     With a compactness the price of a cell is its value plus that many times the distance to its
     seed. Equal prices go by age; seeds start in the order of rows and columns. Cells that no
-    seed reaches have 0; seeds outside the mask are dropped. A closed canopy is one region, and
+    seed reaches have 0; seeds outside the mask are dropped; seed ids are positive. A closed canopy is one region, and
     its flood, which goes cell by cell, one task.
     """
     cells = regions(relief, meta, EIGHT).join(relief.select("row", "col", F.col("value").cast("float").cast("double").alias("value")), ["row", "col"])
@@ -82,26 +99,31 @@ def watershed(relief: DataFrame, seed_cells: DataFrame, meta: RasterMeta, compac
 
     def flood(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["row", "col"])
-        value = {(r, c): v for r, c, v in zip(frame["row"], frame["col"], frame["value"], strict=True)}
-        label: dict[tuple[int, int], int] = {}
-        queue: list[tuple[float, int, int, int, int, int, int]] = []
-        age = 0
-        for r, c, s in zip(frame["row"], frame["col"], frame["seed_id"], strict=True):
+        row, col = frame["row"].to_numpy(np.int64), frame["col"].to_numpy(np.int64)
+        n = len(frame)
+        around = np.full((n, len(EIGHT)), -1)
+        for k, offset in enumerate(EIGHT):
+            a, b = beside(row, col, [offset])
+            around[a, k] = b
+        near, value, rows, cols = around.tolist(), frame["value"].tolist(), row.tolist(), col.tolist()
+        label, queue = [0] * n, []
+        for i, s in enumerate(frame["seed_id"].tolist()):
             if s == s and s is not None:
-                heapq.heappush(queue, (value[r, c], age, r, c, int(s), r, c))
-                age += 1
+                queue.append((value[i], len(queue), i, int(s), i))
+        heapq.heapify(queue)
+        age = len(queue)
         while queue:
-            _, _, r, c, s, r0, c0 = heapq.heappop(queue)
-            if (r, c) in label:
+            _, _, i, s, of = heapq.heappop(queue)
+            if label[i]:
                 continue
-            label[r, c] = s
-            for dr, dc in EIGHT:
-                to = (r + dr, c + dc)
-                if to in value and to not in label:
-                    far = ((to[0] - r0) ** 2 + (to[1] - c0) ** 2) ** 0.5
-                    heapq.heappush(queue, (value[to] + compactness * far, age, *to, s, r0, c0))
+            label[i] = s
+            r0, c0 = rows[of], cols[of]
+            for j in near[i]:
+                if j >= 0 and not label[j]:
+                    price = value[j] + compactness * ((rows[j] - r0) ** 2 + (cols[j] - c0) ** 2) ** 0.5
+                    heapq.heappush(queue, (price, age, j, s, of))
                     age += 1
-        return pd.DataFrame({"row": frame["row"], "col": frame["col"], "crown_id": [label.get((r, c), 0) for r, c in zip(frame["row"], frame["col"], strict=True)]}).astype({"row": "int32", "col": "int32", "crown_id": "int32"})
+        return pd.DataFrame({"row": frame["row"], "col": frame["col"], "crown_id": label}).astype({"row": "int32", "col": "int32", "crown_id": "int32"})
 
     return marked.groupBy("component").applyInPandas(flood, "row int, col int, crown_id int")
 
@@ -142,19 +164,18 @@ def clean_small(cells: DataFrame, pixel: float, min_area: float = 1.0) -> DataFr
     """Small polygons (area up to ``min_area``) join their only edge neighbour, or go: ``fid, crown_id, row, col, action``.
 
     They go in the order of fid, each looked at beside the polygons of that moment; what joins
-    is the shape that the small polygon had at first. A small polygon is cleaned apart from those
-    it can't meet: groups are linked by edges between small ones and to what they touch. A
-    large polygon is not split over groups: only its cells beside small ones matter there.
+    is the shape that the small polygon had at first. So a small polygon changes what others see
+    only for those that touch it: groups are linked by edges between small ones alone, and a
+    large polygon takes part in each group by its cells beside it.
     """
     areas = cells.groupBy("fid").agg((F.count("*") * pixel * pixel).alias("_area"))
     sized = written(cells.join(areas, "fid").withColumn("small", F.col("_area") <= min_area).drop("_area"), "clean")
     small = sized.filter("small")
-    near = shared_edges(sized).join(small.select("fid").distinct(), "fid", "left_semi")
-    groups = components(near.select(F.col("fid").alias("id")).union(near.select("other")).union(small.select("fid")).distinct(), near.select(F.col("fid").alias("a"), F.col("other").alias("b")))
-    # only cells next to small polygons, or of them, take part in the replay
-    beside = neighbours(small.select("row", "col"), FOUR).distinct()
-    rim = sized.filter("not small").join(beside, ["row", "col"], "left_semi").unionByName(small)
-    part = rim.join(groups.withColumnRenamed("id", "fid"), "fid").select("component", "fid", "row", "col", "small")
+    near = shared_edges(small)
+    groups = components(small.select(F.col("fid").alias("id")).distinct(), near.select(F.col("fid").alias("a"), F.col("other").alias("b")))
+    own = written(small.join(groups.withColumnRenamed("id", "fid"), "fid").select("component", "fid", "row", "col", "small"), "clean-groups")
+    rim = neighbours(own.select("row", "col", "component"), FOUR, ("component",)).distinct().join(sized.filter("not small"), ["row", "col"])
+    part = own.unionByName(rim.select("component", "fid", "row", "col", "small"))
 
     def replay(frame: pd.DataFrame) -> pd.DataFrame:
         at: dict[tuple[int, int], set[int]] = defaultdict(set)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import CROWN_FIELDS
+from .graph import written
 from .spatial import box_cells, points_in_boxes
 
 
@@ -13,13 +15,15 @@ def rugosity(z: str = "z") -> Column:
     return F.when(F.count(z) >= 3, F.stddev_pop(z) / (F.max(z) - F.min(z) + 0.001)).otherwise(0.0)
 
 
-def vertical(points: DataFrame, key: str = "fid") -> DataFrame:
+def vertical(points: DataFrame, key: str = "fid", limits: DataFrame | None = None) -> DataFrame:
     """Shares of points in the top quarter, the middle and the bottom quarter of a group's range.
 
-    (0, 1, 0) under three points or for a range under 0.1. The limits come from one aggregate, joined back, so
-    a group of any size is spread over tasks.
+    (0, 1, 0) under three points or for a range under 0.1. ``limits`` (key, _low, _range, _n) may be
+    known already; groups without limits are left out. They are joined back, so a group of any
+    size is spread over tasks.
     """
-    limits = points.groupBy(key).agg(F.min("z").alias("_low"), (F.max("z") - F.min("z")).alias("_range"), F.count("*").alias("_n"))
+    if limits is None:
+        limits = points.groupBy(key).agg(F.min("z").alias("_low"), (F.max("z") - F.min("z")).alias("_range"), F.count("*").alias("_n"))
     of = points.join(limits, key)
     top, bottom = F.col("z") >= F.col("_low") + 0.75 * F.col("_range"), F.col("z") <= F.col("_low") + 0.25 * F.col("_range")
     shares = of.groupBy(key).agg(F.first("_n").alias("_n"), F.first("_range").alias("_range"), F.avg(top.cast("double")).alias("_t"), F.avg(bottom.cast("double")).alias("_b"))
@@ -35,38 +39,63 @@ def edge_flag(crowns: DataFrame, extent: tuple[float, float, float, float], buff
     return crowns.withColumn("is_edge", near.cast("int"))
 
 
-def candidates(crowns: DataFrame, points: DataFrame, size: float = 50.0) -> DataFrame:
-    """``fid`` of crowns whose box meets a cell of ``size`` that holds a point; cells start at the points' least x and y."""
-    origin = points.agg(F.min("x").alias("x"), F.min("y").alias("y"))
-    x0, y0 = origin.select("x").scalar(), origin.select("y").scalar()
-    cells = points.select(F.floor((F.col("x") - x0) / size).alias("_cx"), F.floor((F.col("y") - y0) / size).alias("_cy")).distinct()
-    return box_cells(crowns, size, x0, y0).join(cells, ["_cx", "_cy"]).select("fid").distinct()
+def candidates(crowns: DataFrame, points: DataFrame, size: float = 50.0, layers: dict[str, Column] | None = None) -> DataFrame:
+    """``fid`` of crowns whose box meets a cell of ``size`` that holds a point; cells start at the points' least x and y.
+
+    ``layers`` are conditions, each of which makes a grid of its own from the points that meet it;
+    a crown counts if any grid has a cell. All grids come from one scan. Without points there are none.
+    """
+    layers = layers or {"all": F.lit(True)}
+    least = [F.min(F.when(on, F.col(axis))).alias(f"{axis}{k}") for k, on in enumerate(layers.values()) for axis in "xy"]
+    origins = points.agg(*least)
+    at = [(origins.select(f"x{k}").scalar(), origins.select(f"y{k}").scalar()) for k in range(len(layers))]
+    cells = F.array(*[F.when(on, F.struct(F.lit(k).alias("g"), F.floor((F.col("x") - x0) / size).alias("_cx"), F.floor((F.col("y") - y0) / size).alias("_cy"))) for k, (on, (x0, y0)) in enumerate(zip(layers.values(), at, strict=True))])
+    held = points.select(F.explode(F.array_compact(cells)).alias("c")).select("c.*").distinct()
+    boxes = crowns.select("fid", "xmin", "xmax", "ymin", "ymax")
+    spread = None
+    for k, (x0, y0) in enumerate(at):
+        part = box_cells(boxes.filter(x0.isNotNull()), size, x0, y0).select("fid", F.lit(k).alias("g"), "_cx", "_cy")
+        spread = part if spread is None else spread.union(part)
+    return spread.join(held, ["g", "_cx", "_cy"]).select("fid").distinct()
 
 
-def crown_metrics(crowns: DataFrame, all_points: DataFrame, vegetation: DataFrame, extent: tuple[float, float, float, float], edge_buffer: float = 1.0, size: float = 5.0) -> DataFrame:
-    """All crown fields: ``crowns`` are boxes ``fid, xmin..ymax, area``; ``vegetation`` has ground, z, intensity and ndvi.
+def crown_metrics(crowns: DataFrame, points: DataFrame, extent: tuple[float, float, float, float], edge_buffer: float = 1.0, size: float = 5.0) -> DataFrame:
+    """All crown fields: ``crowns`` are boxes ``fid, xmin..ymax, area``; ``points`` are all points with ``height, intensity, ndvi``.
 
-    Counts are of points strictly inside. Under three points of vegetation only the edge flag, counts
-    and their ratio are given; without a candidate point near its box a crown has NULLs only. ``size`` is the side of the
-    join's cells, best near a crown's width.
+    ``height`` is above the ground, and NULL for points that are no vegetation or over no ground.
+    Points are written once and joined to the boxes once; what lies inside, written too, serves
+    the first aggregate and, with its limits, the shares of the quarters. Counts are of points strictly
+    inside. Under three points of vegetation only the edge flag, counts and their ratio are given;
+    without a point in a cell near its box a crown has NULLs only. ``size`` is the side of the
+    join's cells, best near a crown's width. Empty tables of points give NULLs, of crowns no rows.
     """
-    everything = points_in_boxes(all_points.select("x", "y"), crowns.select("fid", "xmin", "xmax", "ymin", "ymax"), size).groupBy("fid").agg(F.count("*").alias("n_points_all"))
-    inside = points_in_boxes(vegetation.select("x", "y", "z", "intensity", "ndvi"), crowns.select("fid", "xmin", "xmax", "ymin", "ymax"), size)
-    main = inside.groupBy("fid").agg(F.count("*").alias("n_points"), F.avg("z").alias("mean_height"), F.max("z").alias("max_height"), F.avg("intensity").alias("mean_intensity"), F.avg("ndvi").alias("mean_ndvi"), rugosity().alias("rugosity"))
-    known = candidates(crowns, vegetation).union(candidates(crowns, all_points)).distinct().withColumn("_known", F.lit(True))
-    out = edge_flag(crowns, extent, edge_buffer).join(main, "fid", "left").join(everything, "fid", "left").join(vertical(inside), "fid", "left").join(known, "fid", "left")
+    cloud = written(points.select("x", "y", F.col("height").alias("z"), "intensity", "ndvi"), "cloud")
+    inside = written(points_in_boxes(cloud, crowns.select("fid", "xmin", "xmax", "ymin", "ymax"), size).select("fid", "z", "intensity", "ndvi"), "inside")
+    of = lambda c: F.when(F.col("z").isNotNull(), F.col(c))
+    main = inside.groupBy("fid").agg(
+        F.count("*").alias("n_points_all"), F.count("z").alias("n_points"), F.avg("z").alias("mean_height"), F.min("z").alias("_low"), F.max("z").alias("max_height"),
+        F.avg(of("intensity")).alias("mean_intensity"), F.avg(of("ndvi")).alias("mean_ndvi"), rugosity().alias("rugosity"),
+    )
+    main = written(main, "metrics")
+    limits = main.filter("n_points >= 3").select("fid", "_low", (F.col("max_height") - F.col("_low")).alias("_range"), F.col("n_points").alias("_n"))
+    known = candidates(crowns, cloud, layers={"vegetation": F.col("z").isNotNull(), "all": F.lit(True)}).withColumn("_known", F.lit(True))
+    out = edge_flag(crowns, extent, edge_buffer).join(main, "fid", "left").join(vertical(inside.filter("z is not null").select("fid", "z"), limits=limits), "fid", "left").join(known, "fid", "left")
     n, n_all = F.coalesce("n_points", F.lit(0)), F.coalesce("n_points_all", F.lit(0))
     width = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
     enough = lambda c: F.when((n >= 3) & F.col("_known"), c)
     seen = lambda c: F.when(F.col("_known"), c)
-    return out.select(
-        "fid",
-        enough(F.col("mean_height")).alias("mean_height"), enough(F.col("max_height")).alias("max_height"),
-        enough(F.col("area")).alias("crown_area_m2"), enough(width).alias("crown_width_m"),
-        enough(F.when(width > 0, F.col("max_height") / width).otherwise(0.0)).alias("height_width_ratio"),
-        enough(F.col("mean_intensity")).alias("mean_intensity"), enough(F.col("mean_ndvi")).alias("mean_ndvi"),
-        enough(F.when(F.col("area") > 0, n / F.col("area")).otherwise(0.0)).alias("point_density"),
-        seen(n).cast("int").alias("n_points"), seen(n_all).cast("int").alias("n_points_all"), seen(F.col("is_edge")).alias("is_edge"),
-        *[enough(F.col(c)).alias(c) for c in ("rugosity", "vert_dist_top25", "vert_dist_mid50", "vert_dist_bot25")],
-        seen(F.when(n_all > 0, 100.0 * n / n_all).otherwise(0.0)).alias("pct_high_veg"),
-    )
+    fields = {
+        "mean_height": enough(F.col("mean_height")),
+        "max_height": enough(F.col("max_height")),
+        "crown_area_m2": enough(F.col("area")),
+        "crown_width_m": enough(width),
+        "height_width_ratio": enough(F.when(width > 0, F.col("max_height") / width).otherwise(0.0)),
+        "mean_intensity": enough(F.col("mean_intensity")),
+        "mean_ndvi": enough(F.col("mean_ndvi")),
+        "point_density": enough(F.when(F.col("area") > 0, n / F.col("area")).otherwise(0.0)),
+        "n_points": seen(n).cast("int"),
+        "n_points_all": seen(n_all).cast("int"),
+        "is_edge": seen(F.col("is_edge")),
+        "pct_high_veg": seen(F.when(n_all > 0, 100.0 * n / n_all).otherwise(0.0)),
+    }
+    return out.select("fid", *[fields.get(c, enough(F.col(c))).alias(c) for c in CROWN_FIELDS])

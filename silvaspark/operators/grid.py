@@ -44,12 +44,12 @@ def cell(x: Column, y: Column, meta: RasterMeta) -> tuple[Column, Column]:
     return ((y - F.lit(meta.y0)) / F.lit(meta.px_h)).cast("long"), ((x - F.lit(meta.x0)) / F.lit(meta.px_w)).cast("long")
 
 
-def with_cell(points: DataFrame, meta: RasterMeta, x: str = "x", y: str = "y", clip: bool = True) -> DataFrame:
-    """Points with ``row`` and ``col``; ``clip`` drops points outside the raster."""
+def with_cell(points: DataFrame, meta: RasterMeta, x: str = "x", y: str = "y", clip: bool = True, names: tuple[str, str] = ("row", "col")) -> DataFrame:
+    """Points with ``row`` and ``col``, or other ``names``; ``clip`` drops points outside the raster and of a NULL place."""
     row, col = cell(F.col(x), F.col(y), meta)
-    out = points.withColumn("row", row.cast("int")).withColumn("col", col.cast("int"))
+    out = points.withColumns({names[0]: row.cast("int"), names[1]: col.cast("int")})
     if clip:
-        out = out.filter(F.col("row").between(0, meta.n_rows - 1) & F.col("col").between(0, meta.n_cols - 1))
+        out = out.filter(F.col(names[0]).between(0, meta.n_rows - 1) & F.col(names[1]).between(0, meta.n_cols - 1))
     return out
 
 

@@ -13,17 +13,63 @@ def of_class(points: DataFrame, *classes: int) -> DataFrame:
 
 
 def normalise_heights(points: DataFrame, terrain: DataFrame, meta: RasterMeta, drop: bool = True) -> DataFrame:
-    """``z`` above the terrain cell under each point. ``drop``: without points over no ground; else ``good`` tells."""
-    ground = terrain.filter("value is not null").withColumnRenamed("value", "_ground")
-    joined = with_cell(points, meta, clip=drop).join(ground, ["row", "col"], "inner" if drop else "left")
-    out = joined.withColumn("z", F.col("z") - F.col("_ground")).drop("_ground", "row", "col") if drop else joined.withColumn("good", F.col("_ground").isNotNull()).withColumn("z", F.col("z") - F.col("_ground")).drop("_ground", "row", "col")
-    return out
-
-
-def without_outliers(points: DataFrame, upper_percentile: float = 99.9, approximate: bool = False) -> DataFrame:
-    """Points up to a percentile of z over all points; exact with linear interpolation, or approximate for very large clouds."""
-    q = F.percentile_approx("z", upper_percentile / 100, 100_000) if approximate else F.percentile("z", upper_percentile / 100)
-    return points.filter(F.col("z") <= points.agg(q).scalar())
+    """``z`` above the terrain cell under each point. ``drop``: without points over no ground; else ``good`` tells.
+
+    Points that repeat stay; a NULL place has no ground. Columns of points keep their values.
+    """
+    ground = terrain.filter("value is not null").select(F.col("row").alias("_row"), F.col("col").alias("_col"), F.col("value").alias("_ground"))
+    joined = with_cell(points, meta, clip=drop, names=("_row", "_col")).join(ground, ["_row", "_col"], "inner" if drop else "left")
+    if not drop:
+        joined = joined.withColumn("good", F.col("_ground").isNotNull())
+    return joined.withColumn("z", F.col("z") - F.col("_ground")).drop("_ground", "_row", "_col")
+
+
+def vegetation_heights(points: DataFrame, terrain: DataFrame, meta: RasterMeta, classes: tuple[int, ...] = (5,)) -> DataFrame:
+    """All points with ``height`` above the ground, NULL for other classes and over no ground."""
+    placed = normalise_heights(points.withColumn("_z", F.col("z")), terrain, meta, drop=False)
+    return placed.withColumn("height", F.when(F.col("classification").isin(*classes) & F.col("good"), F.col("z"))).withColumn("z", F.col("_z")).drop("_z", "good")
+
+
+def exact_percentile(points: DataFrame, share: float, column: str = "z", most: int = 100_000) -> float | None:
+    """A percentile of all values with linear interpolation; NULL and no values give None.
+
+    Approximate percentiles bracket the place, what lies below the bracket is counted, and the
+    bracket is narrowed until it holds at most ``most`` different values; these are counted one by
+    one. So no buffer grows with the table, and the result is exact.
+    """
+    values = points.select(F.col(column).alias("v")).filter("v is not null and not isnan(v)")
+    n = values.count()
+    if not n:
+        return None
+    place = share * (n - 1)
+    first, last, below = int(place), min(int(place) + 1, n - 1), 0  # ranks to find, and values under the bracket
+    low, high = None, None
+    inside = values
+    while True:
+        counted = inside.groupBy("v").agg(F.count("*").alias("k"))
+        if inside is not values or n > most:
+            inner = inside.count() if inside is not values else n
+            if inner > most and counted.count() > most:
+                margin = 2.0 / 10_000
+                at = [max(0.0, (first - below) / inner - margin), min(1.0, (last - below) / inner + margin)]
+                low, high = inside.agg(F.percentile_approx("v", at, 10_000)).first()[0]
+                below += inside.filter(F.col("v") < low).count()
+                inside = inside.filter(F.col("v").between(low, high))
+                continue
+        ends, total = [], below
+        for row in counted.orderBy("v").toLocalIterator():
+            total += row["k"]
+            while len(ends) < 2 and total > (first, last)[len(ends)]:
+                ends.append(row["v"])
+            if len(ends) == 2:
+                break
+        return ends[0] + (ends[1] - ends[0]) * (place - first)
+
+
+def without_outliers(points: DataFrame, upper_percentile: float = 99.9) -> DataFrame:
+    """Points up to a percentile of z over all points, exact with linear interpolation. Give it a written table: it is read more than once."""
+    limit = exact_percentile(points, upper_percentile / 100)
+    return points.filter(F.col("z") <= F.lit(limit).cast("double"))
 
 
 def at_least(points: DataFrame, minheight: float = 2.0) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, spectral
 from ..operators import classify, correlate, crowns, features, points, raster, spatial, treetops
+from ..operators.graph import written
 from ..operators.grid import RasterMeta, dense, with_cell
 from ..schema import BANDS, CORRELATION_FEATURES, INDICES
 from .fixtures import CROWN_META, EXTENT, sql, table, terrain_meta
@@ -40,7 +41,8 @@ def _heights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _tops(spark: SparkSession, sf: str) -> DataFrame:
-    return treetops.local_maxima(points.at_least(points.without_outliers(_heights(spark, sf))))
+    heights = written(_heights(spark, sf), "heights")
+    return treetops.local_maxima(points.at_least(points.without_outliers(heights)))
 
 
 ORDER = ("z desc", "point_key", "x", "y", "intensity")
@@ -66,7 +68,7 @@ def minheight_filter(spark, sf):
 
 @query(_CALM + " select point_key, round(z, 8) as z from calm")
 def outlier_p999(spark, sf):
-    return rounded(points.without_outliers(_heights(spark, sf)).select("point_key", "z"))
+    return rounded(points.without_outliers(written(_heights(spark, sf), "heights")).select("point_key", "z"))
 
 
 @query(_MAX + " select row_number() over (order by z desc, point_key, x, y, intensity)::int as tree_id, round(z, 3) as height_m, 0 as crown_px, x, y from tops")
@@ -152,14 +154,12 @@ def polygon_contains_join(spark, sf):
 
 
 def _metrics(spark: SparkSession, sf: str) -> DataFrame:
-    cloud = points.colours(table(spark, sf, "points"))
     terrain = raster.from_nodata(table(spark, sf, "dtm"), -9999.0)
-    vegetation = points.normalise_heights(points.of_class(cloud, 5), terrain, terrain_meta(spark, sf))
+    cloud = points.vegetation_heights(points.colours(table(spark, sf, "points")), terrain, terrain_meta(spark, sf))
     boxes = table(spark, sf, "crowns").withColumn("area", (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")))
-    return features.crown_metrics(boxes, cloud, vegetation, EXTENT)
+    return features.crown_metrics(boxes, cloud, EXTENT)
 
 
-_VERTICAL = "case when n < 3 or hi - lo < 0.1e0 then {flat} else {value} end"
 _METRICS = _H + """, crowns as (select """ + sql("crowns").split("select ", 1)[1] + """,
 w as (select max(red) > 255 as w from points),
 v as (select h.x, h.y, h.z, h.intensity, case when h.nir + h.red > 0 then (h.nir - h.red) / (h.nir + h.red) else 0e0 end as ndvi from h),

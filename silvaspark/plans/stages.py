@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spectral
 from ..operators import classify, correlate, crowns, features, points, raster, treetops
+from ..operators.graph import written
 from ..operators.grid import RasterMeta, dense
 from ..params import Correlation, Crowns, Features, Landscape, Prepare, Treetops
 from ..schema import BANDS, CORRELATION_FEATURES, INDICES
@@ -20,7 +21,7 @@ def prepare(surface_tiles: DataFrame, terrain_tiles: DataFrame, cloud: DataFrame
 
 def detect_treetops(cloud: DataFrame, terrain: DataFrame, meta: RasterMeta, params: Treetops = Treetops(), order: tuple[str, ...] = ("point_id",)) -> DataFrame:
     """The treetop layer; ids follow the input's order, or fall with height where treetops are suppressed."""
-    heights = points.normalise_heights(points.of_class(cloud, 5), terrain, meta)
+    heights = written(points.normalise_heights(points.of_class(cloud, 5), terrain, meta), "heights")
     high = points.at_least(points.without_outliers(heights, params.upper_percentile), params.minheight)
     tops = treetops.local_maxima(high, params.radius_a, params.radius_b)
     if params.mindist <= 0:
@@ -42,9 +43,8 @@ def segment_crowns(tops: DataFrame, ndsm: DataFrame, mask: DataFrame, meta: Rast
 
 
 def crown_features(boxes: DataFrame, cloud: DataFrame, terrain: DataFrame, meta: RasterMeta, params: Features = Features()) -> DataFrame:
-    coloured = points.colours(cloud)
-    vegetation = points.normalise_heights(points.of_class(coloured, 5), terrain, meta)
-    return features.crown_metrics(boxes, coloured, vegetation, meta.extent, params.edge_buffer)
+    """All crown fields of ``boxes`` (fid, xmin..ymax, area) from a cloud and the terrain under it."""
+    return features.crown_metrics(boxes, points.vegetation_heights(points.colours(cloud), terrain, meta), meta.extent, params.edge_buffer)
 
 
 def feature_correlation(metrics: DataFrame, params: Correlation = Correlation()) -> dict[str, DataFrame]:
