@@ -143,6 +143,26 @@ def fill_holes(segments: DataFrame, meta: RasterMeta) -> DataFrame:
     return segments.join(filled, ["row", "col"], "left").select("row", "col", F.coalesce("fill", "crown_id").cast("int").alias("crown_id"))
 
 
+def hole_counts(segments: DataFrame, meta: RasterMeta) -> DataFrame:
+    """How many background regions are ``filled``, ``left`` (several crowns or none beside them) or at the ``edge``: ``action, n``."""
+    holes = regions(segments.filter("crown_id = 0").select("row", "col"), meta)
+    edge = ((F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == meta.n_rows - 1) | (F.col("col") == meta.n_cols - 1)).cast("int")
+    at_edge = holes.groupBy("component").agg(F.max(edge).alias("_edge"))
+    beside = neighbours(holes, FOUR, ("component",)).join(segments.filter("crown_id > 0"), ["row", "col"]).groupBy("component").agg((F.min("crown_id") == F.max("crown_id")).alias("_one"))
+    action = F.when(F.col("_edge") == 1, "edge").when(F.col("_one"), "filled").otherwise("left")
+    return at_edge.join(beside, "component", "left").groupBy(action.alias("action")).agg(F.count("*").alias("n"))
+
+
+def action_counts(cleaned: DataFrame) -> DataFrame:
+    """How many small polygons ``clean_small`` merged and removed: ``action, n``."""
+    return cleaned.filter("action is not null").groupBy("action").agg(F.count("*").alias("n"))
+
+
+def distinct_ids(cells: DataFrame, column: str = "crown_id") -> DataFrame:
+    """The number of different ids other than background: ``n``."""
+    return cells.filter(F.col(column) > 0).agg(F.count_distinct(column).alias("n"))
+
+
 def polygonise(segments: DataFrame, meta: RasterMeta) -> DataFrame:
     """Crown cells ``fid, crown_id, row, col``: a polygon is a region of cells with one id that share edges; fid is its least cell."""
     cells = regions(segments.filter("crown_id > 0"), meta, FOUR, "crown_id")
@@ -155,6 +175,46 @@ def shared_edges(cells: DataFrame) -> DataFrame:
     return beside.join(cells.select("row", "col", F.col("fid").alias("other")), ["row", "col"]).filter("fid <> other").select("fid", "other").distinct()
 
 
+def outlines(cells: DataFrame, meta: RasterMeta) -> DataFrame:
+    """Polygons made of cells as ``fid, crown_id, rings``: the outer ring first, then holes, in the raster's coordinates.
+
+    Only sides of cells without a cell of the same polygon beside them go into a task, so a task
+    holds the outline of one polygon. Inside lies on the left; where two corners touch, rings part.
+    """
+    placed = cells.select("fid", "crown_id", "row", "col")
+    own = placed.select("fid", F.col("row").alias("_row"), F.col("col").alias("_col"))
+    # a side runs from corner to corner (row, column), with the cell on its left
+    sides = [((-1, 0), (0, 1), (0, 0)), ((0, -1), (0, 0), (1, 0)), ((1, 0), (1, 0), (1, 1)), ((0, 1), (1, 1), (0, 1))]
+    every = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("dr", "dc", "r0", "c0", "r1", "c1"), (*d, *a, *b), strict=True)]) for d, a, b in sides]))
+    spread = placed.withColumn("s", every).withColumn("_row", F.col("row") + F.col("s.dr")).withColumn("_col", F.col("col") + F.col("s.dc"))
+    rim = spread.join(own, ["fid", "_row", "_col"], "left_anti").select("fid", "crown_id", *[(F.col(axis) + F.col(f"s.{axis[0]}{k}")).alias(f"{axis[0]}{k}") for k in (0, 1) for axis in ("row", "col")])
+
+    def chain(frame: pd.DataFrame) -> pd.DataFrame:
+        after: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        for r0, c0, r1, c1 in zip(frame["r0"].tolist(), frame["c0"].tolist(), frame["r1"].tolist(), frame["c1"].tolist(), strict=True):
+            after[r0, c0].append((r1, c1))
+        rings = []
+        for start in sorted(after):
+            while after[start]:
+                ring, at, to = [start], start, after[start].pop()
+                while to != start:
+                    step = (to[0] - at[0], to[1] - at[1])
+                    at = to
+                    ring.append(at)
+                    # of two ways the one that turns left, so that rings that touch part there
+                    ways = after[at]
+                    left = (at[0] - step[1], at[1] + step[0])
+                    to = ways.pop(ways.index(left)) if len(ways) > 1 and left in ways else ways.pop()
+                rings.append(ring)
+        corners = [[p for k, p in enumerate(ring) if (p[0] - ring[k - 1][0]) * (ring[(k + 1) % len(ring)][1] - p[1]) != (p[1] - ring[k - 1][1]) * (ring[(k + 1) % len(ring)][0] - p[0])] for ring in rings]
+        size = lambda ring: abs(sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)))
+        corners.sort(key=lambda ring: (-size(ring), ring))
+        shape = [[(meta.x0 + c * meta.px_w, meta.y0 + r * meta.px_h) for r, c in ring] for ring in corners]
+        return pd.DataFrame({"fid": [frame["fid"].iloc[0]], "crown_id": [frame["crown_id"].iloc[0]], "rings": [[[{"x": x, "y": y} for x, y in ring] for ring in shape]]})
+
+    return rim.groupBy("fid").applyInPandas(chain, "fid long, crown_id int, rings array<array<struct<x: double, y: double>>>")
+
+
 def polygon_measures(cells: DataFrame, pixel: float) -> DataFrame:
     """Area and extent of polygons made of cells."""
     return cells.groupBy("fid").agg(F.first("crown_id").alias("crown_id"), (F.count("*") * pixel * pixel).alias("area"), F.min("row").alias("row0"), F.max("row").alias("row1"), F.min("col").alias("col0"), F.max("col").alias("col1"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import CROWN_FIELDS
 from .graph import written
-from .spatial import box_cells, points_in_boxes
+from .spatial import box_cells, points_in_boxes, points_in_polygons
 
 
 def rugosity(z: str = "z") -> Column:
@@ -60,7 +60,7 @@ def candidates(crowns: DataFrame, points: DataFrame, size: float = 50.0, layers:
 
 
 def crown_metrics(crowns: DataFrame, points: DataFrame, extent: tuple[float, float, float, float], edge_buffer: float = 1.0, size: float = 5.0) -> DataFrame:
-    """All crown fields: ``crowns`` are boxes ``fid, xmin..ymax, area``; ``points`` are all points with ``height, intensity, ndvi``.
+    """All crown fields: ``crowns`` are boxes ``fid, xmin..ymax, area``, or polygons if they have ``rings`` too; ``points`` are all points with ``height, intensity, ndvi``.
 
     ``height`` is above the ground, and NULL for points that are no vegetation or over no ground.
     Points are written once and joined to the boxes once; what lies inside, written too, serves
@@ -70,7 +70,11 @@ def crown_metrics(crowns: DataFrame, points: DataFrame, extent: tuple[float, flo
     join's cells, best near a crown's width. Empty tables of points give NULLs, of crowns no rows.
     """
     cloud = written(points.select("x", "y", F.col("height").alias("z"), "intensity", "ndvi"), "cloud")
-    inside = written(points_in_boxes(cloud, crowns.select("fid", "xmin", "xmax", "ymin", "ymax"), size).select("fid", "z", "intensity", "ndvi"), "inside")
+    if "rings" in crowns.columns:
+        joined = points_in_polygons(cloud, crowns.select("fid", "rings"), size)
+    else:
+        joined = points_in_boxes(cloud, crowns.select("fid", "xmin", "xmax", "ymin", "ymax"), size)
+    inside = written(joined.select("fid", "z", "intensity", "ndvi"), "inside")
     of = lambda c: F.when(F.col("z").isNotNull(), F.col(c))
     main = inside.groupBy("fid").agg(
         F.count("*").alias("n_points_all"), F.count("z").alias("n_points"), F.avg("z").alias("mean_height"), F.min("z").alias("_low"), F.max("z").alias("max_height"),

@@ -66,6 +66,11 @@ def exact_percentile(points: DataFrame, share: float, column: str = "z", most: i
         return ends[0] + (ends[1] - ends[0]) * (place - first)
 
 
+def percentiles(table: DataFrame, column: str, shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> dict[float, float | None]:
+    """Exact percentiles of a column, each as ``exact_percentile`` gives it."""
+    return {share: exact_percentile(table, share, column) for share in shares}
+
+
 def without_outliers(points: DataFrame, upper_percentile: float = 99.9) -> DataFrame:
     """Points up to a percentile of z over all points, exact with linear interpolation. Give it a written table: it is read more than once."""
     limit = exact_percentile(points, upper_percentile / 100)

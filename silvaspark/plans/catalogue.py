@@ -430,6 +430,38 @@ def fill_holes(spark, sf):
     return crowns.fill_holes(table(spark, sf, "segments"), terrain_meta(spark, sf))
 
 
+@query(
+    _BACKGROUND
+    + """, size as (select ceil(count(*) / 100e0) as rows from segments),
+held as (select component, bool_or(row = 0 or col = 0 or row = rows - 1 or col = 99) as edge from labels, size group by component),
+beside as (select l.component, count(distinct s.crown_id) as k from labels l join segments s on s.crown_id > 0 and ((s.col = l.col and abs(s.row - l.row) = 1) or (s.row = l.row and abs(s.col - l.col) = 1)) group by 1)
+select case when edge then 'edge' when k = 1 then 'filled' else 'left' end as action, count(*) as n from held left join beside using (component) group by 1"""
+)
+def hole_counts(spark, sf):
+    return crowns.hole_counts(table(spark, sf, "segments"), terrain_meta(spark, sf))
+
+
+@query(sql("segments") + " select count(distinct crown_id) as n from segments where crown_id > 0")
+def distinct_crowns(spark, sf):
+    return crowns.distinct_ids(table(spark, sf, "segments"))
+
+
+@query(sql("mds") + ", f as (select floor(row / 20)::int as r, floor(col / 20)::int as c, coalesce(avg(case when value = -9999e0 then null when value > 7e0 then 1e0 else 0e0 end), 0e0) as v from mds group by 1, 2) " + " union all ".join(f"select {q}::double as share, round(quantile_cont(v, {q}), 8) as value from f" for q in ("0.25e0", "0.5e0", "0.75e0")))
+def fraction_percentiles(spark, sf):
+    """Quartiles of the vegetation fraction, for the report of the mask."""
+    mask = raster.from_nodata(table(spark, sf, "mds"), -9999.0).withColumn("value", (F.col("value") > 7).cast("double"))
+    found = points.percentiles(written(raster.vegetation_fraction(mask, 20), "fraction"), "fraction")
+    return rounded(spark.createDataFrame(list(found.items()), "share double, value double"), "value")
+
+
+@query(_POLYGONS + " select component as fid, any_value(kind) as crown_id, count(*)::double as area from labels group by component")
+def crown_outlines(spark, sf):
+    """Rings around crowns; their areas by the shoelace formula, holes taken off, are those of the cells."""
+    meta = terrain_meta(spark, sf)
+    rings = crowns.outlines(crowns.polygonise(table(spark, sf, "segments"), meta), meta)
+    return rings.select("fid", "crown_id", geometry.polygon_area(F.col("rings")).alias("area"))
+
+
 @query(_POLYGONS + " select component as fid, kind as crown_id, row, col from labels")
 def polygonize(spark, sf):
     return crowns.polygonise(table(spark, sf, "segments"), terrain_meta(spark, sf))

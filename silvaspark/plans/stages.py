@@ -30,16 +30,17 @@ def detect_treetops(cloud: DataFrame, terrain: DataFrame, meta: RasterMeta, para
 
 
 def segment_crowns(tops: DataFrame, ndsm: DataFrame, mask: DataFrame, meta: RasterMeta, params: Crowns = Crowns()) -> dict[str, DataFrame]:
-    """``segments`` (row, col, crown_id, filled) and ``crowns`` (fid, crown_id, row, col, cleaned)."""
+    """``segments`` (row, col, crown_id, filled), ``crowns`` (fid, crown_id, row, col, cleaned), and ``actions``, counts of what cleaning did.
+
+    Without a treetop on the raster there is no crown: every segment is 0.
+    """
     seeds = crowns.seeds(tops, meta, "tree_id")
-    if seeds.isEmpty():
-        raise ValueError("no treetop lies on the raster")
     relief = raster.inverted(raster.vegetation_cells(ndsm, mask, params.minheight))
     flooded = crowns.watershed(relief, seeds, meta, params.compactness)
     every = dense(tops.sparkSession, meta).join(flooded, ["row", "col"], "left").na.fill(0, ["crown_id"])
     segments = crowns.fill_holes(every, meta)
     cells = crowns.clean_small(crowns.polygonise(segments, meta), meta.px_w, params.min_area)
-    return {"segments": segments, "crowns": cells.filter("row is not null").drop("action")}
+    return {"segments": segments, "crowns": cells.filter("row is not null").drop("action"), "actions": crowns.action_counts(cells), "holes": crowns.hole_counts(every, meta)}
 
 
 def crown_features(boxes: DataFrame, cloud: DataFrame, terrain: DataFrame, meta: RasterMeta, params: Features = Features()) -> DataFrame:
@@ -60,12 +61,13 @@ def landscape(bands: DataFrame, fraction: DataFrame, training_cells: DataFrame,
     """
     names = [*BANDS, *INDICES]
     stack = spectral.reflectance(spectral.masked_by_scene(bands)).withColumns(spectral.indices())
-    stack = raster.masked(stack, fraction, names)
-    samples = classify.samples(training_cells, stack, names)
+    stack = written(raster.masked(stack, fraction, names), "stack")
+    samples = written(classify.samples(training_cells, stack, names), "samples")
     split = classify.stratified_split(samples, (f"xxhash64(row, col, fid, {params.seed})", "row", "col", "fid"), params.test_size)
     train = split.filter("not is_test")
     if train.isEmpty():
         raise ValueError("no complete training sample")
     model = classify.train_forest(train, names, params)
-    matrix = classify.confusion(classify.predict(model, split.filter("is_test"), names))
-    return {"scene": classify.predict(model, stack, names).select("row", "col", F.col("prediction").cast("short").alias("prediction"), "confidence"), "confusion": matrix, "report": classify.report(matrix), "importances": classify.importances(bands.sparkSession, model, names)}
+    matrix = written(classify.confusion(classify.predict(model, split.filter("is_test"), names)), "confusion")
+    scene = written(classify.predict(model, stack, names).select("row", "col", F.col("prediction").cast("short").alias("prediction"), "confidence"), "scene")
+    return {"scene": scene, "confusion": matrix, "report": classify.report(matrix), "importances": classify.importances(bands.sparkSession, model, names)}

@@ -20,8 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..schema import POINTS
 
 # Fixed values of the LAS format: bytes of each point format, place of the classification and of colours.
-SIZES = {0: 20, 1: 28, 2: 26, 3: 34, 6: 30, 7: 36, 8: 38}
-COLOURS = {2: 20, 3: 28, 7: 30, 8: 30}
+SIZES = {0: 20, 1: 28, 2: 26, 3: 34, 4: 57, 5: 63, 6: 30, 7: 36, 8: 38, 9: 59, 10: 67}
+COLOURS = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}
 POINTS_A_PARTITION = 1_000_000
 
 
@@ -57,7 +57,7 @@ def decode(raw: bytes, head: Header, tile: str, first: int) -> pa.RecordBatch:
     classes = data[:, 16] if new else data[:, 15] & 31
     returns = (flags & 15, flags >> 4) if new else (flags & 7, (flags >> 3) & 7)
     at = COLOURS.get(head.kind)
-    colours = [field(at + 2 * k, "<u2").astype(float) if at else None for k in range(3)] + [field(36, "<u2").astype(float) if head.kind == 8 else None]
+    colours = [field(at + 2 * k, "<u2").astype(float) if at else None for k in range(3)] + [field(36, "<u2").astype(float) if head.kind in (8, 10) else None]
     number = lambda x: pa.nulls(n, pa.float64()) if x is None else pa.array(x.astype(float))
     columns = [pa.array(np.arange(first, first + n)), pa.array([tile] * n), *[pa.array(a) for a in axes], pa.array(classes.astype(np.int32)), number(field(12, "<u2")), *[number(c) for c in colours], *[number(r) for r in returns]]
     return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in POINTS.split(", ")])

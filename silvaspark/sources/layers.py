@@ -1,4 +1,4 @@
-"""Named layers in a folder of Parquet tables, and the small tables that reports are made of."""
+"""Named layers in a folder of Parquet tables, and rasters as Parquet."""
 
 from __future__ import annotations
 
@@ -47,21 +47,7 @@ def update(layer: DataFrame, metrics: DataFrame, key: str = "fid") -> DataFrame:
     return layer.drop(*fields).join(metrics, key, "left")
 
 
-def confusion_csv(matrix: DataFrame, names_of: dict[int, str], path: str) -> None:
-    """A square matrix of counts with a blank corner; classes that do not occur have zeros."""
-    ids = sorted(names_of)
-    wide = matrix.groupBy("class_id").pivot("prediction", ids).agg(F.sum("n")).na.fill(0)
-    named = wide.orderBy("class_id").select(F.element_at(F.create_map(*[F.lit(x) for i in ids for x in (i, names_of[i])]), F.col("class_id")).alias(" "), *[F.col(str(i)).alias(names_of[i]) for i in ids])
-    named.coalesce(1).write.mode("overwrite").csv(path, header=True)
-
-
-def correlation_csv(matrix: DataFrame, features: list[str], path: str) -> None:
-    wide = matrix.groupBy("i", "feature_i").pivot("feature_j", features).agg(F.first(F.round("r", 4)))
-    wide.orderBy("i").drop("i").withColumnRenamed("feature_i", " ").coalesce(1).write.mode("overwrite").csv(path, header=True)
-
-
-def raster_table(raster: DataFrame, path: str, nodata: float, kind: str = "float") -> None:
-    """A raster as Parquet, in ranges of rows, with nodata as a number of its kind (float, int, short)."""
-    from ..operators.raster import to_nodata
-
-    to_nodata(raster, nodata, kind).repartitionByRange("row", "col").sortWithinPartitions("row", "col").write.mode("overwrite").parquet(path)
+def raster_table(raster: DataFrame, path: str, nodata: float, kind: str = "float", columns: tuple[str, ...] = ("value",)) -> None:
+    """A raster as Parquet, in ranges of rows, with nodata as a number of its kind (float, int, short) in each of its columns."""
+    filled = raster.select("row", "col", *[F.coalesce(F.col(c), F.lit(nodata)).cast(kind).alias(c) for c in columns])
+    filled.repartitionByRange("row", "col").sortWithinPartitions("row", "col").write.mode("overwrite").parquet(path)
