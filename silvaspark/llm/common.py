@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a Python function holds at once; an Arrow batch is cut into such slices.
-SLICE_ROWS = 512
+SLICE_ROWS = 2048
 #: Bytes of text that a Python function holds at once, beside one longer text.
 SLICE_BYTES = 8 << 20
 #: Characters of SQL white space: space and the control characters 9 to 13.
@@ -70,6 +70,31 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """Join ``rows`` to the one row that ``groups`` has for each key, of ``size`` among ``total`` rows; ``size`` goes.
+
+    Keys with more than one in 4 n rows, n the shuffle partitions, are fewer than 4 n: these are
+    broadcast, so their rows stay where they are. The others are shuffled, none of them hot.
+    ``groups`` is read three times and should be a written table; keys are not null.
+    """
+    hot = F.col(size) > max(1.0, total / (4 * partitions(rows.sparkSession)))
+    few = F.broadcast(groups.filter(hot).drop(size))  # fewer than 4 n rows
+    rest = rows.join(F.broadcast(groups.filter(hot).select(*on)), on, "left_anti")
+    return rows.join(few, on).unionByName(rest.join(groups.filter(~hot).drop(size), on, how))
+
+
 def tie(text: str = "text") -> Column:
     """A number that orders rows of one doc_id: a hash of the text."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
@@ -179,20 +204,21 @@ class Kept:
     def __call__(self, keys: list[str]) -> list:
         """The values of different keys, in their order."""
         young, old = self.young, self.old
-        found = [young.get(k) for k in keys]
+        found = list(map(young.get, keys))
         gaps = [i for i, v in enumerate(found) if v is None]
-        new = []
-        for i in gaps:
-            value = old.get(keys[i])
-            if value is None:
-                new.append(i)
-            else:
-                found[i] = young[keys[i]] = value
-        if new:
-            for i, value in zip(new, self.function([keys[i] for i in new]), strict=True):
-                found[i] = value
-                if len(keys[i]) <= self.longest:
-                    young[keys[i]] = value
+        if not gaps:
+            return found
+        asked = [keys[i] for i in gaps]
+        values = list(map(old.get, asked)) if old else [None] * len(asked)
+        new = [k for k, v in zip(asked, values, strict=True) if v is None]
+        made = iter(self.function(new) if new else ())
+        values = [next(made) if v is None else v for v in values]
+        for i, value in zip(gaps, values, strict=True):
+            found[i] = value
+        if max(map(len, asked)) <= self.longest:
+            young.update(zip(asked, values, strict=True))
+        else:
+            young.update((k, v) for k, v in zip(asked, values, strict=True) if len(k) <= self.longest)
         if len(young) > self.limit:
             self.old, self.young = young, {}
         return found

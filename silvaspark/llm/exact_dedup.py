@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, written
+from .common import BLANKS, fresh, spread_join, written
 
 #: Characters of the prefix that the second step hashes.
 PREFIX = 256
@@ -43,12 +43,13 @@ def exact_duplicates(docs: DataFrame, all_digests: bool = False) -> DataFrame:
     Texts are equal if their normalised texts are. One scan of the texts makes the length and the
     prefix hash of each row; the steps on these work on that narrow table. A second scan hashes
     whole texts, only of rows whose group survived both (of all rows with ``all_digests``). No text
-    is shuffled. Counts are summed before they are shuffled, and come back to narrow rows by an
-    adaptive join, so a group of any size is spread over tasks again.
+    is shuffled. Counts are summed before they are shuffled; those of the largest groups, of a
+    bounded number, come back to their rows by a broadcast, so no group lands in one task.
 
     Null and empty texts form one group. ``keep_id`` is the least doc_id of a group, null only if
     all are; rows that repeat that doc_id are all kept; a row of a null doc_id is kept only in a
-    group without other ids. Other columns are ignored.
+    group without other ids. An empty table gives no rows. Other columns are ignored. Texts are
+    compared and hashed whole, one at a time.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("_text"))
     heads = lambda df: df.withColumn("_len", F.length("_text")).withColumn("_head", F.xxhash64(F.substring("_text", 1, PREFIX)))
@@ -61,7 +62,12 @@ def exact_duplicates(docs: DataFrame, all_digests: bool = False) -> DataFrame:
     full = digest(F.col("_text"))
     second = written(marked.select("doc_id", "_len", "_again", (full if all_digests else F.when(F.col("_again"), full)).alias("text_sha256")), "dedup-digests")
     groups = second.filter("_again").groupBy("_len", "text_sha256").agg(F.min("doc_id").alias("_keep"), F.count("*").alias("_size")).filter("_size > 1")
-    out = second.join(groups, ["_len", "text_sha256"], "left").select(
+    groups = written(groups.withColumn("_n", F.col("_size")), "dedup-groups")
+    alone = F.col("text_sha256").isNull()
+    joined = spread_join(second.filter(~alone), groups, ["_len", "text_sha256"], "_n", second.count(), "left")
+    if not all_digests:  # rows whose group is surely of one have no digest
+        joined = joined.unionByName(second.filter(alone).select("*", F.lit(None).cast("long").alias("_keep"), F.lit(None).cast("long").alias("_size")))
+    out = joined.select(
         "doc_id",
         F.when(F.col("_size").isNull(), F.col("doc_id")).otherwise(F.col("_keep")).alias("keep_id"),
         F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
@@ -72,7 +78,13 @@ def exact_duplicates(docs: DataFrame, all_digests: bool = False) -> DataFrame:
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``exact_duplicates`` keeps."""
-    found = exact_duplicates(docs, all_digests=True).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    keyed = docs.withColumn("_sha_here", digest(normalised()))
-    return keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_sha_here") == F.col("_sha")), "left_anti").drop("_sha_here")
+    """The rows of ``docs``, all columns, that ``exact_duplicates`` keeps.
+
+    A row goes by its doc_id and the digest of its own text, so other texts of a repeated or null
+    doc_id stay. Null and empty texts are one group. An empty table stays empty; columns of
+    any other name are kept and not read.
+    """
+    gone, sha, here = fresh(docs, "_gone_id", "_gone_sha", "_sha")
+    found = exact_duplicates(docs, all_digests=True).filter("not kept").select(F.col("doc_id").alias(gone), F.col("text_sha256").alias(sha)).distinct()
+    keyed = docs.withColumn(here, digest(normalised()))
+    return keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(gone)) & (F.col(here) == F.col(sha)), "left_anti").drop(here)
