@@ -32,7 +32,10 @@ def with_name(df: DataFrame, column: str = "class_id") -> DataFrame:
 
 
 def samples(cells: DataFrame, stack: DataFrame, features: list[str]) -> DataFrame:
-    """Complete pixels under training cells ``fid, class_id, row, col``; polygons that overlap repeat a pixel."""
+    """Complete pixels under training cells ``fid, class_id, row, col``; polygons that overlap repeat a pixel.
+
+    Cells of a NULL class, off the stack or with a NULL feature give none.
+    """
     return cells.join(stack, ["row", "col"]).filter("class_id is not null").dropna(how="any", subset=features)
 
 
@@ -79,6 +82,7 @@ def predict(model: RandomForestClassificationModel, stack: DataFrame, features:
 
 
 def confusion(scored: DataFrame) -> DataFrame:
+    """Counts ``n`` of each ``class_id`` and ``prediction`` that occur together; no rows for no samples."""
     return scored.groupBy("class_id", "prediction").agg(F.count("*").alias("n"))
 
 

@@ -20,6 +20,7 @@ def reasons(crowns: DataFrame, features: list[str], min_points: int = 30) -> Dat
 
 
 def used(crowns: DataFrame, features: list[str], min_points: int = 30) -> DataFrame:
+    """The features of crowns that are used, without NULLs."""
     return reasons(crowns, features, min_points).filter("reason = 'used'").select(*features)
 
 

@@ -39,6 +39,17 @@ class RasterMeta:
             raise ValueError(f"rasters differ in size: {self.n_cols} x {self.n_rows} and {other.n_cols} x {other.n_rows}")
 
 
+def unused(names: tuple[str, ...], *tables: DataFrame) -> list[str]:
+    """Names like ``names`` that no column of the tables has, in any case of letters."""
+    taken, found = {c.lower() for t in tables for c in t.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def cell(x: Column, y: Column, meta: RasterMeta) -> tuple[Column, Column]:
     """Row and column of a place. Offsets are cut towards zero, so a place less than a pixel outside is in cell 0."""
     return ((y - F.lit(meta.y0)) / F.lit(meta.px_h)).cast("long"), ((x - F.lit(meta.x0)) / F.lit(meta.px_w)).cast("long")

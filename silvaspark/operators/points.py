@@ -9,6 +9,7 @@ from .grid import RasterMeta, dilate, with_cell
 
 
 def of_class(points: DataFrame, *classes: int) -> DataFrame:
+    """Points of the classes; a NULL class is none of them."""
     return points.filter(F.col("classification").isin(*classes))
 
 
@@ -78,6 +79,7 @@ def without_outliers(points: DataFrame, upper_percentile: float = 99.9) -> DataF
 
 
 def at_least(points: DataFrame, minheight: float = 2.0) -> DataFrame:
+    """Points of ``minheight`` or more; those of a NULL height go."""
     return points.filter(F.col("z") >= minheight)
 
 

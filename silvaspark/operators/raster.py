@@ -36,6 +36,7 @@ def height_model(surface: DataFrame, terrain: DataFrame, min_height: float = 0.0
 
 
 def statistics(raster: DataFrame) -> DataFrame:
+    """One row: cells with and without data, least, greatest and mean value; NULLs and counts of 0 for an empty raster."""
     return raster.agg(F.count("value").alias("n_valid"), F.count_if(F.col("value").isNull()).alias("n_nodata"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.avg("value").alias("mean_value"))
 
 

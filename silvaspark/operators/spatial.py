@@ -6,29 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import bounds, contains, edges
-from .grid import RasterMeta
+from .grid import RasterMeta, unused
 
 
-def box_cells(boxes: DataFrame, size: float, x0: Column | float = 0.0, y0: Column | float = 0.0) -> DataFrame:
-    """A row for each cell of ``size`` that a box ``xmin..ymax`` overlaps: ``_cx``, ``_cy``."""
+def box_cells(boxes: DataFrame, size: float, x0: Column | float = 0.0, y0: Column | float = 0.0, names: tuple[str, str] = ("_cx", "_cy")) -> DataFrame:
+    """A row for each cell of ``size`` that a box ``xmin..ymax`` overlaps, in the columns ``names``; none for a box with a NULL side."""
     at = lambda name, origin: F.floor((F.col(name) - origin) / size)
     across = F.explode(F.sequence(at("xmin", x0), at("xmax", x0)))
-    return boxes.withColumn("_cx", across).withColumn("_cy", F.explode(F.sequence(at("ymin", y0), at("ymax", y0))))
+    whole = boxes.dropna(subset=["xmin", "xmax", "ymin", "ymax"])
+    return whole.withColumn(names[0], across).withColumn(names[1], F.explode(F.sequence(at("ymin", y0), at("ymax", y0))))
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float = 50.0) -> DataFrame:
-    """Points strictly inside axis-parallel boxes; a point in several boxes gives as many rows."""
-    placed = points.withColumn("_cx", F.floor(F.col("x") / size)).withColumn("_cy", F.floor(F.col("y") / size))
+    """Points strictly inside axis-parallel boxes; a point in several boxes gives as many rows.
+
+    Points of a NULL place and boxes with a NULL side meet nothing; columns of points keep their values.
+    """
+    cx, cy = unused(("_cx", "_cy"), points, boxes)
+    placed = points.withColumns({cx: F.floor(F.col("x") / size), cy: F.floor(F.col("y") / size)})
     inside = (F.col("x") > F.col("xmin")) & (F.col("x") < F.col("xmax")) & (F.col("y") > F.col("ymin")) & (F.col("y") < F.col("ymax"))
-    return placed.join(box_cells(boxes, size), ["_cx", "_cy"]).filter(inside).drop("_cx", "_cy")
+    return placed.join(box_cells(boxes, size, names=(cx, cy)), [cx, cy]).filter(inside).drop(cx, cy)
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float = 50.0) -> DataFrame:
-    """Points strictly inside polygons ``fid, rings``; what is on an edge is outside."""
+    """Points strictly inside polygons ``fid, rings``; what is on an edge is outside. NULL rings and places meet nothing."""
+    cx, cy = unused(("_cx", "_cy"), points, polygons)
     boxed = polygons.filter("rings is not null").withColumn("_b", bounds(F.col("rings"))).select("*", "_b.*").drop("_b")
-    placed = points.withColumn("_cx", F.floor(F.col("x") / size)).withColumn("_cy", F.floor(F.col("y") / size))
-    joined = placed.join(box_cells(boxed, size), ["_cx", "_cy"])
-    return joined.filter(contains(F.col("rings"), F.col("x"), F.col("y"))).drop("_cx", "_cy", "xmin", "xmax", "ymin", "ymax", "rings")
+    placed = points.withColumns({cx: F.floor(F.col("x") / size), cy: F.floor(F.col("y") / size)})
+    joined = placed.join(box_cells(boxed, size, names=(cx, cy)), [cx, cy])
+    return joined.filter(contains(F.col("rings"), F.col("x"), F.col("y"))).drop(cx, cy, "xmin", "xmax", "ymin", "ymax", "rings")
 
 
 def points_in_crowns(points: DataFrame, cells: DataFrame, x0: float, y0: float, pixel: float) -> DataFrame:

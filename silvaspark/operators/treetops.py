@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import written
+from .grid import unused
 
 
 def local_maxima(points: DataFrame, radius_a: float = 0.5, radius_b: float = 0.05) -> DataFrame:
@@ -13,16 +14,19 @@ def local_maxima(points: DataFrame, radius_a: float = 0.5, radius_b: float = 0.0
 
     Places are cut into cells of the greatest radius, so what may outdo a point lies in its own or
     the eight cells around: an equality join on cells, with the distance as its condition. Points
-    of one place are one rival there, the highest. Equal heights do not outdo each other.
+    of one place are one rival there, the highest. Equal heights do not outdo each other. An empty
+    table stays empty; columns of points keep their values.
     """
+    cx, cy, r2 = unused(("_cx", "_cy", "_r2"), points)
     size = points.agg(F.greatest(F.lit(radius_a) + F.lit(radius_b) * F.max("z"), F.lit(1e-6))).scalar()
-    placed = points.withColumn("_cx", F.floor(F.col("x") / size)).withColumn("_cy", F.floor(F.col("y") / size)).withColumn("_r2", F.pow(F.lit(radius_a) + F.lit(radius_b) * F.col("z"), F.lit(2)))
+    placed = points.withColumns({cx: F.floor(F.col("x") / size), cy: F.floor(F.col("y") / size), r2: F.pow(F.lit(radius_a) + F.lit(radius_b) * F.col("z"), F.lit(2))})
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    rivals = placed.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("z").alias("_z"), "_cx", "_cy", around.alias("_a")).select("_x", "_y", "_z", (F.col("_cx") + F.col("_a.i")).alias("_cx"), (F.col("_cy") + F.col("_a.j")).alias("_cy"))
+    rivals = placed.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("z").alias("_z"), cx, cy, around.alias("_a")).select("_x", "_y", "_z", (F.col(cx) + F.col("_a.i")).alias("_cx"), (F.col(cy) + F.col("_a.j")).alias("_cy"))
     rivals = rivals.groupBy("_cx", "_cy", "_x", "_y").agg(F.max("_z").alias("_z"))
-    near = (F.col("_z") > F.col("z")) & ((F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y")) <= F.col("_r2"))
-    left = placed.alias("p").join(rivals.alias("q"), (F.col("p._cx") == F.col("q._cx")) & (F.col("p._cy") == F.col("q._cy")) & near, "left_anti")
-    return left.drop("_cx", "_cy", "_r2")
+    far = (F.col("p.x") - F.col("q._x")) * (F.col("p.x") - F.col("q._x")) + (F.col("p.y") - F.col("q._y")) * (F.col("p.y") - F.col("q._y"))
+    near = (F.col("q._z") > F.col("p.z")) & (far <= F.col(f"p.{r2}"))
+    left = placed.alias("p").join(rivals.alias("q"), (F.col(f"p.{cx}") == F.col("q._cx")) & (F.col(f"p.{cy}") == F.col("q._cy")) & near, "left_anti")
+    return left.drop(cx, cy, r2)
 
 
 def suppress(points: DataFrame, mindist: float, order: tuple[str, ...]) -> DataFrame:
@@ -31,6 +35,7 @@ def suppress(points: DataFrame, mindist: float, order: tuple[str, ...]) -> DataF
     ``order`` is a unique key that ranks points of one height. In a round the undecided points
     without a higher undecided neighbour are kept, and their neighbours go; this ends with the
     result of the sequential rule. Links between neighbours are made once, by cells of ``mindist``.
+    Without a distance, and for an empty table, all points stay.
     """
     if mindist <= 0:
         return points

@@ -57,7 +57,8 @@ def feature_correlation(metrics: DataFrame, params: Correlation = Correlation())
 def landscape(bands: DataFrame, fraction: DataFrame, training_cells: DataFrame, params: Landscape = Landscape()) -> dict[str, DataFrame]:
     """``scene`` (prediction, confidence) and the ``confusion``, ``report`` and ``importances`` on held-out samples.
 
-    ``bands`` has ``scl`` and raw band values, ``training_cells`` fid, class_id, row, col.
+    ``bands`` has ``scl`` and raw band values, ``training_cells`` fid, class_id, row, col. Without a
+    complete training sample there is no model: predictions are NULL, the other tables are empty.
     """
     names = [*BANDS, *INDICES]
     stack = spectral.reflectance(spectral.masked_by_scene(bands)).withColumns(spectral.indices())
@@ -66,7 +67,10 @@ def landscape(bands: DataFrame, fraction: DataFrame, training_cells: DataFrame,
     split = classify.stratified_split(samples, (f"xxhash64(row, col, fid, {params.seed})", "row", "col", "fid"), params.test_size)
     train = split.filter("not is_test")
     if train.isEmpty():
-        raise ValueError("no complete training sample")
+        none = lambda schema: bands.sparkSession.createDataFrame([], schema)
+        scene = stack.select("row", "col", F.lit(None).cast("short").alias("prediction"), F.lit(None).cast("double").alias("confidence"))
+        confusion = none("class_id int, prediction int, n long")
+        return {"scene": scene, "confusion": confusion, "report": classify.report(confusion), "importances": none("feature string, importance double")}
     model = classify.train_forest(train, names, params)
     matrix = written(classify.confusion(classify.predict(model, split.filter("is_test"), names)), "confusion")
     scene = written(classify.predict(model, stack, names).select("row", "col", F.col("prediction").cast("short").alias("prediction"), "confidence"), "scene")
