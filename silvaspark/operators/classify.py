@@ -51,14 +51,21 @@ def balanced_weights(train: DataFrame, column: str = "class_id") -> DataFrame:
     return counts.select(column, "n", (counts.agg(F.sum("n")).scalar() / (counts.agg(F.count("*")).scalar() * F.col("n"))).alias("weight"))
 
 
-def stratified_split(df: DataFrame, order: tuple[str, ...], test_size: float = 0.25, column: str = "class_id") -> DataFrame:
+def stratified_split(df: DataFrame, order: tuple[str, ...], test_size: float = 0.25, column: str = "class_id", group: str | None = None) -> DataFrame:
     """``is_test`` for the first rounded share of each class in ``order``, an order that must be total.
 
     Ranks are by class, so a task sorts the training pixels of one class: those under hand-drawn
-    polygons, not the scene.
+    polygons, not the scene. With a ``group``, such as the polygon, its pixels stay together:
+    groups go to the test, in the order of their first pixel, until it has the share.
     """
-    place = F.row_number().over(Window.partitionBy(column).orderBy(*[F.expr(o) for o in order]))
     sizes = df.groupBy(column).agg(F.count("*").alias("_n"))
+    if group:
+        first = F.min(F.struct(*[F.expr(o).alias(f"_{k}") for k, o in enumerate(order)]))
+        groups = df.groupBy(column, group).agg(F.count("*").alias("_k"), first.alias("_first"))
+        before = F.coalesce(F.sum("_k").over(Window.partitionBy(column).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        chosen = groups.withColumn("_before", before).join(F.broadcast(sizes), column).select(column, group, (F.col("_before") < F.round(F.col("_n") * test_size)).alias("is_test"))
+        return df.join(chosen, [column, group]).select(*df.columns, "is_test")
+    place = F.row_number().over(Window.partitionBy(column).orderBy(*[F.expr(o) for o in order]))
     return df.withColumn("_place", place).join(F.broadcast(sizes), column).withColumn("is_test", F.col("_place") <= F.round(F.col("_n") * test_size)).drop("_place", "_n")
 
 

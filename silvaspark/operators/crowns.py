@@ -169,10 +169,27 @@ def polygonise(segments: DataFrame, meta: RasterMeta) -> DataFrame:
     return cells.select(F.col("component").alias("fid"), "crown_id", "row", "col")
 
 
-def shared_edges(cells: DataFrame) -> DataFrame:
-    """Pairs of polygons ``fid``, ``other`` that share an edge of a cell."""
+def shared_edges(cells: DataFrame, corners: bool = True) -> DataFrame:
+    """Pairs of polygons ``fid``, ``other`` that share an edge of a cell.
+
+    With ``corners`` False, pairs that touch at a corner too, apart from their common edges, do not count.
+    """
     beside = neighbours(cells.select("row", "col", "fid"), FOUR, ("fid",))
-    return beside.join(cells.select("row", "col", F.col("fid").alias("other")), ["row", "col"]).filter("fid <> other").select("fid", "other").distinct()
+    pairs = beside.join(cells.select("row", "col", F.col("fid").alias("other")), ["row", "col"]).filter("fid <> other").select("fid", "other").distinct()
+    if corners:
+        return pairs
+    # corners of cells are numbered by row and column; a side has two
+    spots = lambda spread: F.explode(F.array(*[F.struct((F.col("row") + r).alias("r"), (F.col("col") + c).alias("c")) for r, c in spread]))
+    own = cells.select("fid", spots([(0, 0), (0, 1), (1, 0), (1, 1)]).alias("p")).select("fid", "p.r", "p.c").distinct()
+    touch = own.join(own.withColumnRenamed("fid", "other"), ["r", "c"]).filter("fid <> other")
+    ends = None
+    for (dr, dc), spread in (((0, 1), [(0, 0), (1, 0)]), ((1, 0), [(0, 0), (0, 1)])):  # the neighbour's side towards the cell
+        one = cells.select((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col"), "fid").join(cells.select("row", "col", F.col("fid").alias("other")), ["row", "col"]).filter("fid <> other")
+        part = one.select("fid", "other", spots(spread).alias("p")).select("fid", "other", "p.r", "p.c")
+        both = part.union(part.select(F.col("other").alias("fid"), F.col("fid").alias("other"), "r", "c"))
+        ends = both if ends is None else ends.union(both)
+    apart = touch.join(ends.distinct(), ["fid", "other", "r", "c"], "left_anti").select("fid", "other").distinct()
+    return pairs.join(apart, ["fid", "other"], "left_anti")
 
 
 def outlines(cells: DataFrame, meta: RasterMeta) -> DataFrame:

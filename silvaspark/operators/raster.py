@@ -90,11 +90,27 @@ def bilinear(raster: DataFrame, source: RasterMeta, target: RasterMeta, place: C
     return spread.join(cells, ["row", "col"]).groupBy("_row", "_col").agg(*weighed).withColumnsRenamed({"_row": "row", "_col": "col"})
 
 
-def band_stack(grids: list[tuple[DataFrame, RasterMeta, tuple[str, ...]]], target: RasterMeta, place: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """A row for each cell of ``target`` with all bands, each grid of bands resampled to it in one join; NULL off a grid."""
+def nearest(raster: DataFrame, source: RasterMeta, target: RasterMeta, place: Callable[[DataFrame], DataFrame] | None = None, values: tuple[str, ...] = ("value",)) -> DataFrame:
+    """The source cell that holds each centre of ``target``, for codes that must not be blended; cells off the source are left out."""
+    centres = dense(raster.sparkSession, target).withColumn("x", F.lit(target.x0) + (F.col("col") + 0.5) * target.px_w).withColumn("y", F.lit(target.y0) + (F.col("row") + 0.5) * target.px_h)
+    placed = written(place(centres), "places") if place else centres
+    row, col = F.floor((F.col("y") - source.y0) / source.px_h), F.floor((F.col("x") - source.x0) / source.px_w)
+    at = placed.select(F.col("row").alias("_row"), F.col("col").alias("_col"), row.cast("int").alias("row"), col.cast("int").alias("col"))
+    return at.join(raster.select("row", "col", *values), ["row", "col"]).select(F.col("_row").alias("row"), F.col("_col").alias("col"), *values)
+
+
+def band_stack(grids: list[tuple[DataFrame, RasterMeta, tuple[str, ...]]], target: RasterMeta, place: Callable[[DataFrame], DataFrame] | None = None, codes: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each cell of ``target`` with all bands, each grid of bands resampled to it in one join; NULL off a grid.
+
+    Bands are blended, scene classes too unless ``codes`` names them.
+    """
     out = dense(grids[0][0].sparkSession, target)
     for bands, source, names in grids:
-        out = out.join(bilinear(bands, source, target, place, names), ["row", "col"], "left")
+        blended, whole = tuple(n for n in names if n not in codes), tuple(n for n in names if n in codes)
+        if blended:
+            out = out.join(bilinear(bands, source, target, place, blended), ["row", "col"], "left")
+        if whole:
+            out = out.join(nearest(bands, source, target, place, whole), ["row", "col"], "left")
     return out
 
 

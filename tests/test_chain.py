@@ -85,6 +85,33 @@ def test_outlines(spark):
     assert found[2].area == 7
 
 
+def test_edges_and_corners(spark):
+    """Polygons 1 and 2 share an edge only; 1 and 3 share an edge and touch at a corner apart from it."""
+    cells = [(1, 0, 0), (1, 0, 1), (1, 0, 2), (1, 0, 3), (2, 1, 0), (3, 1, 2), (3, 2, 3), (3, 2, 2), (3, 1, 4), (3, 2, 4)]
+    table = spark.createDataFrame([(f, r, c) for f, r, c in cells], "fid long, row int, col int")
+    pairs = lambda **k: {(r.fid, r.other) for r in crowns.shared_edges(table, **k).collect()}
+    assert pairs() == {(1, 2), (2, 1), (1, 3), (3, 1)} and pairs(corners=False) == {(1, 2), (2, 1)}
+
+
+def test_codes_are_not_blended(spark):
+    from silvaspark.operators import raster
+
+    coarse = spark.createDataFrame([(0, 0, 4.0, 0.0), (0, 1, 8.0, 1.0)], "row int, col int, scl double, b double")
+    grids = [(coarse, RasterMeta(0.0, 2.0, 0.0, 2.0, 2, 1), ("scl", "b"))]
+    target = RasterMeta(0.0, 1.0, 0.0, 1.0, 4, 2)
+    found = raster.band_stack(grids, target, codes=("scl",)).filter("row = 0").orderBy("col").collect()
+    assert [r.scl for r in found] == [4, 4, 8, 8] and [r.b for r in found] == [0, 0.25, 0.75, 1]
+    assert [r.scl for r in raster.band_stack(grids, target).filter("row = 0").orderBy("col").collect()] == [4, 5, 7, 8]
+
+
+def test_groups_stay_together(spark):
+    from silvaspark.operators import classify
+
+    rows = spark.range(200).selectExpr("cast(id % 2 as int) as class_id", "id div 10 as fid", "id")
+    found = classify.stratified_split(rows, ("id",), 0.25, group="fid").groupBy("class_id", "fid").agg(F.min("is_test").alias("a"), F.max("is_test").alias("b"), F.count("*").alias("n")).collect()
+    assert all(r.a == r.b for r in found) and sum(r.n for r in found) == 200 and sum(r.n for r in found if r.a) == 50
+
+
 def test_reports(spark, tmp_path):
     path = str(tmp_path / "r")
     matrix = spark.createDataFrame([(1, 1, 8), (1, 9, 2), (2, 2, 5)], "class_id int, prediction int, n long")
