@@ -12,11 +12,13 @@ Jaccard index). Six registers make a band.
    registers estimate it, corrected for registers that agree by chance; the pair is verified
    on the full sets. Components of these links are formed, and the texts that hubs left apart
    try again with hubs among what is left, while that links many.
-3. Texts that are still in a band with texts of another component are verified against all of
-   them in blocks: groups that bands hold together and whose sets are of like size are cut into
-   blocks, and a task gets two blocks, so a group of any size is spread and no pair is a row but
-   the links found. Where the registers of two blocks let a link be, products of their
-   incidence matrices give the sizes of all intersections of full sets.
+3. Texts that are still in a band with texts of another component are compared with them in
+   blocks: groups that bands hold together and whose sets are of like size are cut into blocks,
+   those of the group's largest component apart from all others, and a task gets the registers of
+   two blocks. So a group of any size is spread, and a large component goes only to the few
+   texts beside it, not to itself. What the registers leave over goes on with its text: products of
+   incidence matrices give the sizes of the intersections of full sets. No pair is a row but the
+   links found.
 
 A pair with an index of 0.8 shares none of the 48 bands with a probability below 1e-6.
 """
@@ -33,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import map_slices, slices, texts_of, written
-from .components import components
+from ..operators import graph
+from .common import fresh, map_slices, slices, spread_join, texts_of, written
 from .hashing import mix, stretches
 
 BANDS, ROWS, MANTISSA = 48, 6, 10
@@ -183,11 +185,18 @@ def estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, e double")
 
 
+def components(links: DataFrame) -> DataFrame:
+    """``id``, ``component`` of the ids in links ``a``, ``b``."""
+    links = written(links.select(F.col("a").cast("long"), F.col("b").cast("long")).distinct(), "near-edges")
+    return written(graph.components(links.select(F.col("a").alias("id")).union(links.select("b")).distinct(), links), "near-components")
+
+
 def near_links(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
     """``id``, ``component`` of the representatives that have links: every link between different sets counts."""
-    keys = reps.select("id", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("regs", b * F.lit(2 * ROWS) + F.lit(1), F.lit(2 * ROWS))))).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("k")).filter("k > 1").select("key", "hub")
-    bands = written(keys.join(shared, "key").select("key", "id", "n", "hub"), "near-bands")
+    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("regs", b * F.lit(2 * ROWS) + F.lit(1), F.lit(2 * ROWS))))
+    keys = reps.select("id", "n", F.explode(band).alias("key"))
+    shared = written(keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("k")).filter("k > 1"), "near-keys")
+    bands = written(spread_join(keys, shared, ["key"], "k", BANDS * reps.count()), "near-bands")
 
     links, labels, tried = None, None, None
     for _ in range(HUB_ROUNDS):
@@ -206,7 +215,7 @@ def near_links(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> Da
         if bands.isEmpty():
             return labels
     of = bands if "of" in bands.columns else bands.withColumn("of", F.col("id"))
-    more = written(block_links(docs, of, words, percent), "near-links")
+    more = written(block_links(docs, reps, of, words, percent), "near-links")
     return labels if labels is not None and more.isEmpty() else components(links.union(more))
 
 
@@ -229,42 +238,100 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def likely(regs: np.ndarray, n: np.ndarray, percent: int) -> bool:
-    """Whether the registers let any two sets, of like size, reach the threshold."""
-    low = lowest(percent)
-    small = n <= SMALL
-    for i in range(len(regs) - 1):
-        like = 100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :])
-        if (like & (small[i] | small[i + 1 :] | (estimate(regs[i], regs[i + 1 :]) >= low))).any():
-            return True
-    return False
-
-
-def block_links(docs: DataFrame, bands: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links ``a``, ``b`` between texts of different components ``of`` that bands hold together."""
-    hubs = bands.groupBy("key").agg(F.min("id").alias("b"))
-    held = components(bands.select("key", F.col("id").alias("a")).join(hubs, "key").select("a", "b")).withColumnRenamed("component", "cluster")
+def passing(regs: np.ndarray, n: np.ndarray, of: np.ndarray, half: np.ndarray, percent: int) -> np.ndarray:
+    """Whether each text of a block, or of two (``half``), has a partner that the registers let reach the threshold.
+
+    Partners have another component, like sizes and a band in common; of two blocks they lie in different ones.
+    """
+    low, small, found = lowest(percent), n <= SMALL, np.zeros(len(n), bool)
+    two = half.min() != half.max()
+    keys = regs.reshape(len(n), BANDS, ROWS)
+    for i in range(len(n) - 1):
+        rest = slice(i + 1, None)
+        like = (of[rest] != of[i]) & (100 * np.minimum(n[i], n[rest]) >= percent * np.maximum(n[i], n[rest]))
+        if two:
+            like &= half[rest] != half[i]
+        at = np.flatnonzero(like) + i + 1
+        if not len(at):
+            continue
+        at = at[small[i] | small[at] | (estimate(regs[i], regs[at]) >= low)]
+        if len(at):
+            at = at[(keys[at] == keys[i]).all(axis=2).any(axis=1)]
+            found[at] = True
+            found[i] |= len(at) > 0
+    return found
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal ``keys`` from sorted batches, one table for each."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in keys], axis=1)
+        cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1).tolist(), len(values)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if last is not None and tuple(values[a]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = tuple(values[a])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def block_links(docs: DataFrame, reps: DataFrame, bands: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links ``a``, ``b`` between texts of different components ``of`` that share a band.
+
+    Registers go to the pairs of blocks; texts only of those that ``passing`` leaves over there.
+    """
+    clusters = components(bands.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "cluster")
     # sizes within the threshold are in the same or in neighbouring classes; a group has two classes
     ratio = math.log(100 / percent)
-    members = bands.select("id", "n", "of").distinct().join(held, "id").withColumn("c", F.floor(F.log("n") / ratio))
-    both = written(members.withColumn("g", F.explode(F.array("c", F.col("c") - 1))), "near-groups")
-    groups = both.groupBy("cluster", "g").agg(F.count("*").alias("k"), F.min("of").alias("of0"), F.max("of").alias("of1")).filter("of0 < of1").select("cluster", "g", F.ceil(F.col("k") / BLOCK).alias("blocks"))
-    placed = both.join(groups, ["cluster", "g"]).withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pairs = placed.select("cluster", "g", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "id", "of")
-    rows = pairs.join(written(_texts(docs, both.select("id").distinct()), "near-texts"), "id")
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        ids, of = table.column("id").to_pylist(), table.column("of").to_pylist()
-        sets = [shingles(t, words) for t in table.column("text").to_pylist()]
-        n = np.array([len(s) for s in sets], np.int64)
-        found: list[tuple[int, int]] = []
-        if likely(sketches(sets), n, percent):
+    members = bands.select("id", "n", "of").distinct().join(clusters, "id").withColumn("c", F.floor(F.log("n") / ratio))
+    both = written(members.withColumn("g", F.explode(F.array("c", F.col("c") - 1))).drop("c"), "near-groups")
+    sizes = both.groupBy("cluster", "g", "of").agg(F.count("*").alias("k"))
+    groups = sizes.groupBy("cluster", "g").agg(F.max_by("of", F.struct("k", -F.col("of"))).alias("main"), F.max("k").alias("large"), F.sum("k").alias("k")).filter("large < k")
+    groups = groups.select("cluster", "g", "main", "k", F.ceil(F.col("large") / BLOCK).alias("mains"), F.ceil((F.col("k") - F.col("large")) / BLOCK).alias("others"))
+    held = spread_join(both, written(groups, "near-sizes"), ["cluster", "g"], "k", both.count())
+    main = F.col("of") == F.col("main")
+    placed = held.withColumn("block", F.pmod(F.xxhash64("id"), F.when(main, F.col("mains")).otherwise(F.col("others"))))
+    cell = lambda i, j, half: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), half.cast("long").alias("half"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    own = F.col("block")
+    # blocks of the largest component meet those of the others (j below 0), these meet each other
+    with_others = F.transform(upto("others"), lambda o: cell(own, -1 - o, F.lit(0)))
+    with_main = F.transform(upto("mains"), lambda b: cell(b, -1 - own, F.lit(1)))
+    among = F.transform(upto("others"), lambda o: cell(F.least(own, o), F.greatest(own, o), own))
+    cells = placed.withColumn("c", F.explode(F.when(main, with_others).otherwise(F.concat(with_main, among)))).select("cluster", "g", "c.i", "c.j", "c.half", "id", "of", "n")
+    keys = ["cluster", "g", "i", "j"]
+    sketched = cells.join(reps.select("id", "regs"), "id").repartition(*keys).sortWithinPartitions(*keys, "id")
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups_of(batches, keys):
+            if table.num_rows < 2:
+                continue
+            column = lambda name, table=table: table.column(name).to_numpy()
+            regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            found = passing(regs, column("n"), column("of"), column("half"), percent)
+            if found.any():
+                yield from table.select([*keys, "id", "of"]).filter(pa.array(found)).to_batches()
+
+    left = written(sketched.select(*keys, "half", "id", "of", "n", "regs").mapInArrow(leave, "cluster long, g long, i long, j long, id long, of long"), "near-left")
+    texts = written(_texts(docs, left.select("id").distinct()), "near-texts")
+    rows = left.join(texts, "id").repartition(*keys).sortWithinPartitions(*keys, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups_of(batches, keys):
+            ids, of = table.column("id").to_pylist(), table.column("of").to_pylist()
+            sets = [shingles(t, words) for t in table.column("text").to_pylist()]
+            n = np.array([len(s) for s in sets], np.int64)
             both = intersections(sets)
-            a, b = np.nonzero(np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1))
-            root = {o: o for o in of}
+            a, b = np.nonzero(np.triu((both > 0) & (100 * both >= percent * (n[:, None] + n[None, :] - both)), 1))
+            found, root = [], {o: o for o in of}
 
-            def find(x: int) -> int:
+            def find(x: int, root: dict[int, int] = root) -> int:
                 while root[x] != x:
                     root[x] = root[root[x]]
                     x = root[x]
@@ -274,9 +341,9 @@ def block_links(docs: DataFrame, bands: DataFrame, words: int, percent: int) ->
                 if (p := find(of[x])) != (q := find(of[y])):
                     root[p] = q
                     found.append((ids[y], ids[x]))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    return rows.groupBy("cluster", "g", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return rows.select(*keys, "id", "of", "text").mapInArrow(run, "a long, b long").distinct()
 
 
 def _apart(bands: DataFrame, labels: DataFrame) -> DataFrame:
@@ -285,22 +352,26 @@ def _apart(bands: DataFrame, labels: DataFrame) -> DataFrame:
     The hub is the least id; for the texts of the hub's own component it is the least id of
     another component, so that each round tries new pairs across components.
     """
-    of = bands.drop("hub", "of").join(labels.select("id", F.col("component").alias("of")), "id", "left").withColumn("of", F.coalesce("of", "id"))
-    least = of.groupBy("key", "of").agg(F.min("id").alias("id"))
-    two = least.groupBy("key").agg(F.min_by("of", "id").alias("of1"), F.min("id").alias("hub1"), F.max_by("of", "id").alias("of2"), F.max("id").alias("hub2")).filter("of1 <> of2")
-    return of.join(two, "key").select("key", "id", "n", "of", F.when(F.col("of") == F.col("of1"), F.col("hub2")).otherwise(F.col("hub1")).alias("hub"))
+    of = written(bands.drop("hub", "of").join(labels.select("id", F.col("component").alias("of")), "id", "left").withColumn("of", F.coalesce("of", "id")), "near-of")
+    least = of.groupBy("key", "of").agg(F.min("id").alias("id"), F.count("*").alias("k"))
+    two = least.groupBy("key").agg(F.min_by("of", "id").alias("of1"), F.min("id").alias("hub1"), F.max_by("of", "id").alias("of2"), F.max("id").alias("hub2"), F.sum("k").alias("k")).filter("of1 <> of2")
+    held = spread_join(of, written(two, "near-two"), ["key"], "k", of.count())
+    return held.select("key", "id", "n", "of", F.when(F.col("of") == F.col("of1"), F.col("hub2")).otherwise(F.col("hub1")).alias("hub"))
 
 
 def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """For every row: doc_id, n, component_id, kept, sig (null without shingles or doc_id)."""
     table = written(sketch_table(docs, words), "near-sketches")
     some = table.filter("n > 0 and doc_id is not null")
-    classes = written(some.groupBy("sig").agg(F.min("doc_id").alias("id")), "near-classes")
+    classes = written(some.groupBy("sig").agg(F.min("doc_id").alias("id"), F.count("*").alias("k")), "near-classes")
     reps = written(some.join(classes, (F.col("doc_id") == F.col("id")) & (some.sig == classes.sig), "left_semi").groupBy(F.col("doc_id").alias("id"), "n", "sig").agg(F.first("regs").alias("regs")).select("id", "n", "regs"), "near-reps")
     labels = near_links(docs, reps, words, percent)
-    named = classes.join(labels, "id", "left").select("sig", F.coalesce("component", "id").alias("component_id"))
-    out = table.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("sig")).alias("sig")).join(named, "sig", "left")
+    named = written(classes.join(labels, "id", "left").select("sig", F.coalesce("component", "id").alias("component_id"), "k"), "near-named")
+    held = spread_join(some.select("doc_id", "n", "sig"), named, ["sig"], "k", some.count())
+    # without shingles or doc_id a row is alone
+    rest = table.filter("n = 0 or doc_id is null").select("doc_id", "n", F.lit(None).cast("binary").alias("sig"), F.lit(None).cast("long").alias("component_id"))
     own = F.coalesce("component_id", "doc_id")
+    out = held.unionByName(rest)
     return out.select("doc_id", "n", own.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == own)).alias("kept"), "sig")
 
 
@@ -320,21 +391,24 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80)
     """The rows of ``docs``, all columns, that ``near_duplicates`` keeps.
 
     Rows go by doc_id; where only some rows of a doc_id go, by the digest of their shingles too.
+    Null and empty texts and rows of a null doc_id stay. An empty table stays empty; columns of
+    any other name are kept and not read.
     """
-    labelled = written(_labelled(docs, words, percent).filter("doc_id is not null").select(F.col("doc_id").alias("_id"), "sig", "kept"), "near-labels")
-    gone = labelled.groupBy("_id").agg(F.bool_or("kept").alias("_some"), F.bool_and("kept").alias("_all")).filter("not _all").select("_id", "_some")
-    same = F.col("doc_id").cast("long") == F.col("_id")
-    rest = docs.join(gone.select("_id"), same, "left_anti")
-    mixed = written(gone.filter("_some").select("_id"), "near-mixed")
+    gone_id, some, every, sig, lost_sig = fresh(docs, "_gone_id", "_some", "_every", "_sig", "_lost_sig")
+    labelled = written(_labelled(docs, words, percent).filter("doc_id is not null").select(F.col("doc_id").alias(gone_id), F.col("sig").alias(lost_sig), F.col("kept").alias(some)), "near-labels")
+    gone = labelled.groupBy(gone_id).agg(F.bool_or(some).alias(some), F.bool_and(some).alias(every)).filter(~F.col(every)).select(gone_id, some)
+    same = F.col("doc_id").cast("long") == F.col(gone_id)
+    rest = docs.join(gone.select(gone_id), same, "left_anti")
+    mixed = written(gone.filter(some).select(gone_id), "near-mixed")
     if mixed.isEmpty():
         return rest
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sigs = [hashlib.blake2b(shingles(t, words).tobytes(), digest_size=16).digest() for t in texts_of(part)]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sigs, pa.binary())], names=[*part.schema.names, "_sig"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sigs, pa.binary())], names=[*part.schema.names, sig])
 
-    some = docs.join(mixed, same, "left_semi")
-    lost = labelled.filter("not kept").select("_id", F.col("sig").alias("_gone")).distinct()
-    kept = some.mapInArrow(signed, StructType([*docs.schema.fields, StructField("_sig", BinaryType())])).join(lost, same & (F.col("_sig") == F.col("_gone")), "left_anti").drop("_sig")
+    partly = docs.join(mixed, same, "left_semi")
+    lost = labelled.filter(~F.col(some)).select(gone_id, lost_sig).distinct()
+    kept = partly.mapInArrow(signed, StructType([*docs.schema.fields, StructField(sig, BinaryType())])).join(lost, same & (F.col(sig) == F.col(lost_sig)), "left_anti").drop(sig)
     return rest.union(kept)
