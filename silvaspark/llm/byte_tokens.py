@@ -11,7 +11,6 @@ Any other text goes to the library whole.
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -19,12 +18,12 @@ from tokenizers import Tokenizer
 
 from .common import Kept, word_table
 
-#: Words whose ids a task keeps, and the longest such word.
-MEMO_WORDS, LONGEST = 600_000, 64
+#: Words whose ids a task keeps (some 200 bytes each), the longest such word, and words that go to the merges at once.
+MEMO_WORDS, LONGEST, GROUP = 1_400_000, 64, 16
 #: Marks the first word of a text, which has no space before it.
 FIRST = "\0"
-#: Letters, and ASCII marks after them, at a word's place: after a space, a line feed or at a text's start.
-PLAIN = re.compile("([\0\n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
+#: ASCII marks, which the pattern cuts off the letters before them.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class ByteTokens:
@@ -38,7 +37,7 @@ class ByteTokens:
         #: The vocabulary's letters for bytes: what shows stands for itself, the others for the letters from 256 on.
         self.letters = dict.fromkeys(shown) | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
         self.letters |= {b: chr(b) for b in shown}
-        self.cores = Kept(lambda cores: [self.merged(c) for c in cores], MEMO_WORDS // 2, LONGEST)
+        self.marks = Kept(lambda marks: [self.merged(m) for m in marks], 10_000, LONGEST)
         self.kept = Kept(self.fresh, MEMO_WORDS, LONGEST)
         #: Whether an id's piece starts with a space or a line feed, in the vocabulary's letters for bytes.
         self.opens = np.zeros(self.library.get_vocab_size(), bool)
@@ -53,20 +52,54 @@ class ByteTokens:
         """Whether a text may be cut before each space and line feed."""
         return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or not text.replace("\n", "").isprintable() or any(s in text for s in self.special))
 
+    def shown(self, piece: str) -> str:
+        """A piece in the vocabulary's letters for bytes."""
+        return piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.letters)
+
     def merged(self, piece: str) -> bytes:
         """The ids of what the pattern leaves in one piece."""
-        return b"".join([self.raw[t.id] for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+        return b"".join([self.raw[t.id] for t in self.model.tokenize(self.shown(piece))])
+
+    def after_spaces(self, cores: list[str]) -> list[bytes]:
+        """The ids of letters after a space each. Merges never cross a space between letters, so several go at once."""
+        ids: list[int] = []
+        for k in range(0, len(cores), GROUP):
+            ids += [t.id for t in self.model.tokenize("Ġ" + "Ġ".join([c if c.isascii() else self.shown(c) for c in cores[k : k + GROUP]]))]
+        flat = np.array(ids, "<u4")
+        at = np.flatnonzero(self.opens[flat])
+        if len(at) != len(cores):  # a vocabulary with pieces that span a space
+            return [self.merged(" " + c) for c in cores]
+        raw, ends = flat.tobytes(), (at * 4).tolist() + [4 * len(flat)]
+        return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     def fresh(self, words: list[str]) -> list[bytes]:
-        """The ids of words."""
-        cut = [PLAIN.fullmatch(w) for w in words]
-        cores = [(m[2] if m[1] else " " + m[2]) for m in cut if m]
-        marks = [m[3] for m in cut if m and m[3]]
-        known = list({*cores, *marks, "\n"})
-        ids = dict(zip(known, self.cores(known), strict=True))
-        rest = self.through([w for w, m in zip(words, cut, strict=True) if not m])
-        core = iter(cores)
-        return [(ids["\n"] if m[1] == "\n" else b"") + ids[next(core)] + (ids[m[3]] if m[3] else b"") if m else rest[w] for w, m in zip(words, cut, strict=True)]
+        """The ids of words: letters of Latin 1 with marks after them in two pieces, others by the whole library."""
+        cores, tails, other, alone = [], [], [], {}
+        for w in words:
+            first = w[:1]
+            body = w[1:] if first == FIRST or first == "\n" else w
+            core = body.rstrip(MARKS)
+            if not core.isalpha() or not core.isascii() and max(core) >= "Ā":
+                other.append(w)
+                tails.append(None)
+                continue
+            tails.append(body[len(core) :])
+            if body is w:
+                cores.append(core)
+            else:
+                alone[w] = self.merged(core)
+        known = list({*tails, "\n"} - {"", None})
+        ends = dict(zip(known, self.marks(known), strict=True)) | {"": b""}
+        rest, feed, led = self.through(other) if other else {}, ends["\n"], iter(self.after_spaces(cores) if cores else ())
+        found = []
+        for w, tail in zip(words, tails, strict=True):
+            if tail is None:
+                found.append(rest[w])
+            elif w in alone:
+                found.append((feed if w[0] == "\n" else b"") + alone[w] + ends[tail])
+            else:
+                found.append(next(led) + ends[tail])
+        return found
 
     def through(self, words: list[str]) -> dict[str, bytes]:
         """The ids of words by the whole library: many words go to the library as one text, and come apart where an id opens a word.
@@ -95,7 +128,7 @@ class ByteTokens:
         if cut:
             words, at, first = word_table([FIRST + texts[i].replace("\n", " \n") for i in cut])
             known = self.kept(words)
-            ids = [known[k] for k in at]
+            ids = list(map(known.__getitem__, at))
             for i, a, b in zip(cut, first, first[1:], strict=False):
                 out[i] = b"".join(ids[a:b])
         there = set(cut)

@@ -28,7 +28,7 @@ from .common import slices, texts_of
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 #: Documents packed at once; what stays open goes on to the next.
-BATCH_ROWS = 1024
+BATCH_ROWS = 2048
 #: Step groups that are balanced together.
 POOL = 64
 
