@@ -31,7 +31,7 @@ from .common import Kept, map_slices, texts_of, word_table
 
 SPACE = "▁"
 #: Words whose encodings a task keeps; words of more characters go through the table one by one.
-MEMO_WORDS, LONG, CHUNK = 400_000, 48, 4_096
+MEMO_WORDS, LONG, CHUNK = 800_000, 48, 4_096
 #: Token pairs whose test a task keeps, one by one and for many words at once (a power of two).
 MEMO_PAIRS, PAIR_PLACES = 1_000_000, 1 << 20
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)

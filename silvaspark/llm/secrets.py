@@ -42,7 +42,7 @@ TAGS = ("O", "B", "I")
 OUT, BEGIN, INSIDE = range(3)
 #: Texts and stretches of lines that the field is trained on, at most, and the tokens of a stretch; a line of any length is cut into stretches.
 FIT_ROWS, FIT_LINES, LINE_TOKENS = 2_000, 900, 60
-MEMO_WORDS = 300_000
+MEMO_WORDS = 600_000
 #: A span must beat "outside" by so much, per span.
 MARGIN = 3.0
 

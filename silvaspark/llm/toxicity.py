@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,21 +23,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, held_out, map_slices, texts_of
+from .common import Kept, Memo, held_out, map_slices, slices, texts_of, word_table
 
 # Common English terms of abuse.
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "imbecile", "bastard", "vermin", "filthy")
 QUOTES = "\"“”„«»‹›"
+#: ASCII marks that may stand around a word and quote nothing.
+MARKS = "!#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words between non-letters, as the lexicon is learned from; each quotation mark is a place of its own.
 PLACES = re.compile(rf"[^\W_]+|[{QUOTES}]")
 #: Words that make the words after them a report.
 REPORTS = frozenset("said says called quoted quote reported term word wrote".split())
 #: Words of context on each side of a hit.
 WINDOW = 12
-#: Labelled rows that the lexicon and its weights are learned from, at most; terms of the lexicon, at most.
-FIT_ROWS, TERMS = 8_000, 5_000
+#: Labelled rows that the lexicon and its weights are learned from, at most.
+FIT_ROWS = 8_000
 SHORTEST, LONGEST = 4, 8
-MEMO_WORDS, STATES = 300_000, 200_000
+MEMO_WORDS, STATES = 600_000, 200_000
 
 
 def edits(length: int) -> int:
@@ -146,25 +148,27 @@ def features(text: str, places_of: Memo) -> list[float]:
     if inside:  # a mark that is never closed quotes nothing
         quoted = {i for i in quoted if places[i][2]}
     count = [0.0, 0.0, 0.0, 0.0]
-    weight, terms = {}, set()
+    weights, terms = [], set()
     for i in at:
         cost, term = places[i][1]
         near = {w for w, _, _ in places[max(0, i - 4) : i]}
         reported = i in quoted or bool(near & REPORTS)
         count[2 * bool(cost) + reported] += 1
-        weight[i] = (0.5 if cost else 1.0) * (0.3 if reported else 1.0)
+        weights.append((10 if cost else 20) * (3 if reported else 10))
         terms.add(term)
-    densest = max(sum(weight[j] for j in at if abs(i - j) <= WINDOW) for i in at) if len(at) <= 64 else _densest(at, weight)
     direct = count[0] + count[2]
-    return [1.0, *np.log1p(count).tolist(), math.log1p(densest), math.log1p(len(terms)), math.log1p(1000 * direct / len(places)), float(len(terms) > 1)]
+    return [1.0, *np.log1p(count).tolist(), math.log1p(densest(at, weights) / 200), math.log1p(len(terms)), math.log1p(1000 * direct / len(places)), float(len(terms) > 1)]
 
 
-def _densest(at: list[int], weight: dict[int, float]) -> float:
-    best, total, low = 0.0, 0.0, 0
+def densest(at: list[int], weights: list[int]) -> int:
+    """The greatest weight of the hits within ``WINDOW`` places on either side of one of them; whole numbers, so sums are exact."""
+    best = total = low = high = 0
     for i in at:
-        total += weight[i]
+        while high < len(at) and at[high] <= i + WINDOW:
+            total += weights[high]
+            high += 1
         while at[low] < i - WINDOW:
-            total -= weight[at[low]]
+            total -= weights[low]
             low += 1
         best = max(best, total)
     return best
@@ -177,15 +181,17 @@ class Model:
 
     def hits(self) -> Memo:
         automaton = Automaton(self.terms)
+        known = Memo(automaton.find, MEMO_WORDS)
 
         def find(word: str) -> tuple[int, str] | None:
-            return automaton.find(word) if len(word) > 2 else None
+            return known[word] if len(word) > 2 else None
 
         def places(word: str) -> list[tuple[str, tuple[int, str] | None, bool]]:
             """The places of a word between blanks: each with its hit, and whether the word is quoted by itself."""
             word = word.lower()
-            if word.isalnum():
-                return [(word, find(word), False)]
+            core = word.strip(MARKS)
+            if core.isalnum():  # marks that are no quotation stand around it, if any
+                return [(core, find(core), False)]
             parts = PLACES.findall(word)
             hits, alone = [find(p) for p in parts], sum(map(word.count, QUOTES)) >= 2
             first = next((i for i, p in enumerate(parts) if p not in QUOTES), None)
@@ -195,6 +201,20 @@ class Model:
 
         return Memo(places, MEMO_WORDS)
 
+    def scorer(self) -> Callable[[list[str]], np.ndarray]:
+        """Scores of whole texts; only those with a hit are looked at word by word."""
+        places = self.hits()
+        hit = Kept(lambda words: [any(p[1] for w in word.split() for p in places.function(w)) for word in words], MEMO_WORDS)
+        none = [1.0] + [0.0] * (FEATURES - 1)
+
+        def scores(texts: list[str]) -> np.ndarray:
+            words, at, first = word_table(texts)
+            known = hit(words)
+            x = [features(t, places) if any([known[k] for k in at[a:b]]) else none for t, a, b in zip(texts, first, first[1:], strict=False)]
+            return self.score(np.array(x, float).reshape(-1, FEATURES))
+
+        return scores
+
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -500, 500)))
 
@@ -227,8 +247,7 @@ def choose(counts: dict[tuple[str, bool], tuple[int, int]], n_toxic: int, n_clea
     for word, begins in good:
         if not begins and not any(word[:i] in found and (found[word[:i]] or word[:i] == word) for i in range(1, len(word) + 1)):
             found[word] = False
-    ranked = sorted(found, key=lambda t: (-good[(t, found[t])], t))[:TERMS]
-    return {t: found[t] for t in ranked} | {s: True for s in SEEDS if not any(s.startswith(t) for t in ranked)}
+    return {t: found[t] for t in sorted(found)} | {s: True for s in SEEDS if not any(s.startswith(t) for t in found)}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 60) -> np.ndarray:
@@ -246,7 +265,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 60)
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS) -> Model:
     """Learn the lexicon and its weights from at most about ``max_rows`` labelled rows of the training split.
 
-    The rows are chosen by a hash of doc_id. Terms are counted by aggregates; equal texts count
+    The rows are chosen by a hash of doc_id. Terms have three letters or more, as many as the texts show. Terms are counted by aggregates; equal texts count
     once. For the weights each half of the rows is looked up in the lexicon of the other half, so
     a term that a half has by chance earns no weight. Without toxic or without clean labels the
     list of seeds alone decides.
@@ -259,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS) -> Model:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"])
     rows = rows.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
 
-    words: Column = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w).between(3, 30)))
+    words: Column = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 2))
     held = rows.select("y", "half", words.alias("words"), "text").persist()
     sizes = {(r["half"], r["y"]): r["n"] for r in held.groupBy("half", "y").agg(F.count("*").alias("n")).collect()}
     begins = F.array_distinct(F.flatten(F.transform("words", lambda w: F.transform(F.filter(F.sequence(F.lit(SHORTEST), F.lit(LONGEST)), lambda k: F.length(w) >= k), lambda k: F.substring(w, F.lit(1), k)))))
@@ -301,16 +320,17 @@ def score(docs: DataFrame, labels: DataFrame, toxic_from: float = 0.5, model: Mo
 
     One scan without a shuffle after the fit. Null texts are empty and, like texts without a hit,
     get the score of no hits. Rows with equal or null doc_id each give a row. An empty table
-    gives no rows. Columns other than doc_id and text are ignored.
+    gives no rows. Columns other than doc_id and text are ignored. A text is held whole; memory is
+    bounded by a slice of texts (``SLICE_BYTES``) or one longer text, and the kept words.
     """
     model = model or fit(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        hits = model.hits()
+        scores = model.scorer()
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            p = model.score(np.array([features(t, hits) for t in texts_of(batch)], float).reshape(-1, FEATURES))
+            p = scores(texts_of(batch))
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p, pa.float64()), pa.array((p >= toxic_from).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
         return run
@@ -319,16 +339,17 @@ def score(docs: DataFrame, labels: DataFrame, toxic_from: float = 0.5, model: Mo
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, toxic_from: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, that score below ``toxic_from``; one scan, no shuffle."""
+    """The rows of ``docs``, all columns, that score below ``toxic_from``; one scan, no shuffle after the fit.
+
+    Each row is judged by its own text, whatever other rows of its doc_id hold. Null and empty
+    texts have no hits and stay; an empty table stays empty; columns of any other name are kept
+    and not read. A text is held whole; memory is bounded by a slice of texts or one longer text.
+    """
     model = fit(docs, labels)
-    schema = docs.schema
 
-    def run(batches):
-        hits = model.hits()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                x = np.array([features(t, hits) for t in texts_of(part)], float).reshape(-1, FEATURES)
-                yield part.filter(pa.array(model.score(x) < toxic_from))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = model.scorer()
+        for part in slices(batches):
+            yield part.filter(pa.array(scores(texts_of(part)) < toxic_from, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from silvaspark.llm import exact_dedup, fingerprints, near_dedup
+from silvaspark.llm.common import range_bucket
 
 SCHEMA = "doc_id long, text string, kept boolean, sig string"
 
@@ -127,10 +128,21 @@ def test_exact_copies(spark, corpus):
 
 def test_tables_peel_to_the_difference():
     rng = np.random.default_rng(4)
-    left = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (0, 1, 5, 100, 700, 3)]
-    right = [np.concatenate([x[: len(x) // 2], rng.integers(0, 2**63, k, dtype=np.uint64)]) for x, k in zip(left, (0, 0, 2, 60, 5, 900), strict=True)]
-    for (a, b), x, y in zip(fingerprints.differences(left, right), left, right, strict=True):
-        assert set(a.tolist()) == set(x.tolist()) - set(y.tolist()) and set(b.tolist()) == set(y.tolist()) - set(x.tolist())
+    left = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (0, 1, 5, 100, 700, 3, 4000)]
+    right = [np.concatenate([x[: len(x) // 2], rng.integers(0, 2**63, k, dtype=np.uint64)]) for x, k in zip(left, (0, 0, 2, 60, 5, 900, 1), strict=True)]
+    a, b = fingerprints.Prints.of(left), fingerprints.Prints.of(right)
+    read = fingerprints.Prints.read(a.texts)
+    assert read.sizes == [len(x) for x in left] and all(set(x.tolist()) == set(y.tolist()) for x, y in zip(read.listed, left, strict=True))
+    for (p, q), x, y in zip(fingerprints.differences(read, fingerprints.Prints.read(b.texts)), left, right, strict=True):
+        assert set(p.tolist()) == set(x.tolist()) - set(y.tolist()) and set(q.tolist()) == set(y.tolist()) - set(x.tolist())
+
+
+def test_tables_grow_until_they_peel(monkeypatch):
+    monkeypatch.setattr(fingerprints, "CELLS", 3)
+    monkeypatch.setattr(fingerprints, "FOR_EACH", 0.3)
+    lists = [np.unique(np.random.default_rng(k).integers(0, 2**63, 50, dtype=np.uint64)) for k in range(20)]
+    made = fingerprints.Prints.of(lists)
+    assert all(set(x.tolist()) == set(y.tolist()) for x, y in zip(made.listed, lists, strict=True)) and min(made.cells) > 18
 
 
 def test_digests_of_repeats_and_edits():
@@ -161,6 +173,9 @@ def test_fingerprints(spark, corpus):
         assert r.near_edited == pytest.approx(like(a, b)) and r.near_next == pytest.approx(like(a, c))
         assert {int(d, 16) for d in r.edited_from} == a - b and {int(d, 16) for d in r.edited_to} == b - a
         assert prints.setdefault(text, r.fingerprint) == r.fingerprint
+        # the likeness is that of the two strings, without their texts
+        mine, other = fingerprints.Prints.read([r.fingerprint]), fingerprints.Prints.read([r.edited_fingerprint])
+        assert fingerprints.likenesses(mine, other) == [r.near_edited]
         assert (r.fingerprint == r.edited_fingerprint) == (a == b)
 
 
@@ -168,3 +183,15 @@ def test_fingerprints_of_one_and_of_no_row(spark):
     one = fingerprints.compare(frame(spark, [(3, "abc def")])).collect()
     assert len(one) == 1 and one[0].near_next == 1.0 and one[0].edited_sha256 == hashlib.sha256(b"abc dab").hexdigest()
     assert fingerprints.compare(frame(spark, [])).count() == 0
+
+
+def test_fingerprints_of_one_id(spark):
+    """A doc_id that all rows share is spread over ranges of a hash, and every row has the next one."""
+    rows = [(7 if k % 3 else None, f"text number {k} " * (k % 5 + 1)) for k in range(120)] + [(7, "copy")] * 30
+    found = fingerprints.compare(frame(spark, rows)).collect()
+    assert len(found) == 150 and sorted(r.n_chars for r in found) == sorted(len(t) for _, t in rows)
+    copies = [r for r in found if r.n_chars == 4]
+    assert len({r.fingerprint for r in copies}) == 1 and sum(r.near_next == 1.0 for r in copies) >= 29
+    part, n = range_bucket(frame(spark, rows), "doc_id", 8)
+    sizes = [r["count"] for r in frame(spark, rows).withColumn("p", part).groupBy("p").count().collect()]
+    assert n >= 8 and max(sizes) < 80

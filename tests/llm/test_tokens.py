@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -44,8 +45,9 @@ def test_pieces_are_the_library_s(text):
     of, library = piece_tokens.table(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
     ids = library.encode(text)
     assert of.encode(text) == ids and of.decode(ids) == library.decode(ids)
-    words = of.words(text)
-    assert words is None or not text or [i for w in words for i in of.word_ids(w)] == ids
+    words = [w for w in of.spaced(text).split(" ") if len(w) <= piece_tokens.LONG]
+    assert of.many_ids(words) == [of.word_ids(w) for w in words]
+    assert [list(c) for c in of.many_counts(words)] == [list(of.word_counts(w)) for w in words]
 
 
 def test_counts_of_every_prefix(library):
@@ -53,8 +55,30 @@ def test_counts_of_every_prefix(library):
     for _ in range(80):
         text = "".join(rng.choice(PARTS) for _ in range(10))
         assert of.prefix_counts(text).tolist() == [len(library.encode(text[:i])) for i in range(len(text) + 1)]
-        cut = of.fits(text, 4)
-        assert len(library.encode(text[:cut])) <= 4 and all(len(library.encode(text[:i])) > 4 for i in range(cut + 1, len(text) + 1))
+        table, counts = of.prefix_table(text), [len(library.encode(text[:i])) for i in range(len(text) + 1)]
+        assert [table.fits(n) for n in range(12)] == [max(i for i, c in enumerate(counts) if c <= n) for n in range(12)]
+        assert table.total() == counts[-1]
+
+
+def test_runs_of_spaces(library):
+    """Pieces of runs are as the queue makes them, and their counts need no time beyond their length."""
+    of = piece_tokens.table(PIECES)
+    assert of.widest and all(of.run_ids(n) == [of.ids[p] for p in of.merged(piece_tokens.SPACE * n)] for n in range(1, 80))
+    start = time.process_time()
+    text = " " * 200_000 + "word" + " " * 50_000
+    assert of.prefix_counts(text)[-1] == len(library.encode(text)) and of.fits(text, 100) == 1_599
+    assert time.process_time() - start < 10
+
+
+def test_budgets_without_encoding_again(docs, library):
+    """One stored table of a text answers every budget."""
+    rows = piece_tokens.count_tokens(docs, PIECES, 10, budgets=(3, 500, 10)).collect()
+    assert rows[0].asDict().keys() == {"doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars", "fits_3", "fits_500"}
+    texts = {(i, len((t or "").encode())): t or "" for i, t, _ in ROWS}
+    for r in rows:
+        text = texts[r.doc_id, r.n_bytes]
+        for n, chars in ((10, r.limit_chars), (3, r.fits_3), (500, r.fits_500)):
+            assert len(library.encode(text[:chars])) <= n and (chars == len(text) or len(library.encode(text[: chars + 1])) > n)
 
 
 def test_merges_have_an_order():
@@ -63,7 +87,7 @@ def test_merges_have_an_order():
 
 
 def test_count_tokens(docs, library):
-    found = sorted(tuple(map(str, r)) for r in piece_tokens.count_tokens(docs, PIECES, 1000).collect())
+    found = sorted(tuple(map(str, r)) for r in piece_tokens.count_tokens(docs, PIECES, 1000).drop("limit_chars").collect())
     expected = [(i, len((t or "").encode()), len(library.encode(t or "")), len(library.encode(t or "")) > 1000) for i, t, _ in ROWS]
     assert found == sorted(tuple(map(str, r)) for r in expected)
 
@@ -83,6 +107,9 @@ def test_byte_tokens_are_the_library_s():
     texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
     of = byte_tokens.ByteTokens(BYTES)
     assert of.encode(texts) == of.whole(texts)
+    some += ["WORD", "Ünï", "ab's", "don't", "'s", "--", "\"", "_x", "1a", "a1"]
+    texts = [" ".join(rng.choice(some) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    assert of.encode(texts) == of.whole(texts)
     byte_tokens.MEMO_WORDS, was = 50, byte_tokens.MEMO_WORDS
     try:
         assert byte_tokens.ByteTokens(BYTES).encode(texts[:500]) == of.whole(texts[:500])
@@ -90,6 +117,14 @@ def test_byte_tokens_are_the_library_s():
         byte_tokens.MEMO_WORDS = was
 
 
+def test_ids_that_span_words_fall_back():
+    """A vocabulary whose ids do not come apart at words is asked word by word."""
+    of = byte_tokens.ByteTokens(BYTES)
+    of.opens[:] = False
+    texts = ["a1 b2 c3 d4", "x9 y8"]
+    assert of.encode(texts) == of.whole(texts)
+
+
 def test_token_files(spark, docs):
     found = [tuple(r) for r in token_files.token_files(docs, BYTES).collect()]
     order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
@@ -116,32 +151,66 @@ def test_packing(docs):
     for r in rows:
         by_doc[r.doc_id, r.doc_tokens].append(r)
         by_sequence[r.sequence_id].append(r)
-    expected = sorted((zlib.crc32(np.array(byte_ids(t), "<u4").tobytes()), i) for i, t, _ in ROWS if i not in (5, 2))
-    for _, i in expected:
-        text = next(t for j, t, _ in ROWS if j == i)
-        ids, at = np.array(byte_ids(text), "<u4"), 0
-        for r in sorted(by_doc[i, len(ids)], key=lambda r: r.start):
-            assert r.start == at and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
-            at += r.length
-        assert at == len(ids)
-    assert sum(r.length for r in rows) == sum(len(byte_ids(t)) for _, t, _ in ROWS)
+    expected = defaultdict(list)  # rows of one doc_id and length share a key
+    for i, t, _ in ROWS:
+        expected[i, len(byte_ids(t))].append(np.array(byte_ids(t), "<u4"))
+    assert by_doc.keys() == expected.keys()
+    for key, texts in expected.items():
+        pieces = sorted((r.start, r.length, r.ids_crc32) for r in by_doc[key])
+        if len(texts) > 1:  # equal rows are documents of their own
+            assert sum(p[1] for p in pieces) == sum(map(len, texts))
+            continue
+        at = 0
+        for start, length, crc in pieces:
+            assert start == at and crc == zlib.crc32(texts[0][at : at + length].tobytes())
+            at += length
+        assert at == len(texts[0])
     for pieces in by_sequence.values():
         at = 0
         for r in sorted(pieces, key=lambda r: r.offset):
-            assert r.offset == at
+            assert r.offset == at and r.step_group == pieces[0].step_group
             at += r.length
-        assert at <= 64 and at & (at - 1) == 0
-
-
-def test_step_groups_are_even():
-    packer, rng = packing.Packer(64, 8, 4), random.Random(3)
-    sequences = packer.pack((i, bytes(4 * rng.randint(1, 60))) for i in range(200))
-    groups = packer.groups(sequences)
-    cost = defaultdict(int)
-    for s, g in zip(sequences, groups, strict=True):
-        assert sum(map(len, s)) == 64
-        cost[g] += sum(len(p) ** 2 for p in s)
-    assert max(groups.count(g) for g in cost) <= 4 and max(cost.values()) < 1.5 * sorted(cost.values())[len(cost) // 2]
+        assert at <= 64 and at & (at - 1) == 0 and {r.tier for r in pieces} == {at}
+
+
+def test_tiers_are_packed():
+    """Rests fill sequences of their own tier; gaps of long ones take rests of shorter tiers; at most one tier's worth waits."""
+    packer, rng = packing.Packer(1024, 256), random.Random(3)
+    lengths = [rng.choice([rng.randint(1, 256), rng.randint(257, 512), rng.randint(513, 1023), rng.randint(1024, 5000)]) for _ in range(600)]
+    found = [s for k in range(0, 600, 100) for s in packer.pack((i, bytes(4 * lengths[i])) for i in range(k, k + 100))]
+    sizes = [s[0] for s in found]
+    assert set(sizes) == {256, 512, 1024} and all(sizes.count(n) > 20 for n in (512, 1024))
+    for size, _, pieces in found:
+        first = pieces[0]
+        assert sum(p[2] for p in pieces) == size and (first[2] == 1024 or packer.tier(first[2]) == size)
+        assert all(packer.tier(p[2]) <= size for p in pieces)
+    waits = sum(packer.waiting.values())
+    assert waits < 1024 + 512 + 256 and sum(sizes) + waits == sum(lengths)
+    rest = [s[0] for s in packer.last()]
+    assert sum(rest) == waits and all(n & (n - 1) == 0 for n in rest) and list(packer.last()) == []
+
+
+def test_step_groups_are_even(spark):
+    """Every group but a partition's last has the same tokens, with several sizes, and about the same cost."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(["word"] * rng.choice([3, 20, 40, 90]))) for i in range(3000)], "doc_id long, text string").coalesce(1)
+    packing.POOL, was = 8, packing.POOL
+    try:
+        rows = packing.pack(docs, BYTES, 64, 16, 8).collect()
+    finally:
+        packing.POOL = was
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r.step_group].append(r)
+    tokens = {g: sum(r.length for r in x) for g, x in groups.items()}
+    full = [g for g, n in tokens.items() if n == 512]
+    assert max(tokens.values()) == 512 and len(full) > 0.9 * len(tokens)
+    assert len({r.tier for r in rows}) >= 3
+    longest = {g: len({r.sequence_id for r in x if r.tier == 64}) for g, x in groups.items()}
+    cost = {g: sum(r.length**2 for r in x) for g, x in groups.items()}
+    for g in range(0, len(full) // 8 * 8, 8):  # groups that were balanced together: as many sequences of the longest size, like costs
+        assert max(cost[g + k] for k in range(8)) < 1.3 * min(cost[g + k] for k in range(8))
+        assert max(longest[g + k] for k in range(8)) - min(longest[g + k] for k in range(8)) <= 1
 
 
 def test_empty_tables(docs):
