@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import bounds, contains, edges
+from .graph import written
 from .grid import RasterMeta, unused
 
 
@@ -17,6 +18,18 @@ def box_cells(boxes: DataFrame, size: float, x0: Column | float = 0.0, y0: Colum
     return whole.withColumn(names[0], across).withColumn(names[1], F.explode(F.sequence(at("ymin", y0), at("ymax", y0))))
 
 
+def distinct_shapes(polygons: DataFrame, columns: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The different shapes ``_shape, *columns`` of polygons, and ``fid, _shape`` of each; what repeats a shape need not meet the points again.
+
+    Shapes are equal if all ``columns`` are, whatever the size of a group. Polygons that share a ``fid`` are one
+    shape of several rows; those with a NULL in ``columns`` meet no points and have none.
+    """
+    parts = F.sort_array(F.collect_list(F.struct(*columns))).alias("_parts")
+    of = polygons.dropna(subset=list(columns)).groupBy("fid").agg(parts)
+    shapes = written(of.select("_parts").distinct().withColumn("_shape", F.monotonically_increasing_id()), "shapes")
+    return shapes.select("_shape", F.explode("_parts").alias("_p")).select("_shape", "_p.*"), of.join(shapes, "_parts").select("fid", "_shape")
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float = 50.0) -> DataFrame:
     """Points strictly inside axis-parallel boxes; a point in several boxes gives as many rows.
 
@@ -33,7 +46,9 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float = 50.
     cx, cy = unused(("_cx", "_cy"), points, polygons)
     boxed = polygons.filter("rings is not null").withColumn("_b", bounds(F.col("rings"))).select("*", "_b.*").drop("_b")
     placed = points.withColumns({cx: F.floor(F.col("x") / size), cy: F.floor(F.col("y") / size)})
-    joined = placed.join(box_cells(boxed, size, names=(cx, cy)), [cx, cy])
+    # the box first, as it is cheap to test
+    near = (F.col("x") > F.col("xmin")) & (F.col("x") < F.col("xmax")) & (F.col("y") > F.col("ymin")) & (F.col("y") < F.col("ymax"))
+    joined = placed.join(box_cells(boxed, size, names=(cx, cy)), [cx, cy]).filter(near)
     return joined.filter(contains(F.col("rings"), F.col("x"), F.col("y"))).drop(cx, cy, "xmin", "xmax", "ymin", "ymax", "rings")
 
 

@@ -27,3 +27,38 @@ def test_band_stack_of_a_ragged_raster(spark, tmp_path, missing):
     element = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: (F.sin(F.col("id") * k) / 4).cast("float"))
     pixels.select(F.col("id").alias("vec_id"), element.alias("embedding"), (F.col("id") % 10).cast("int").alias("label")).write.parquet(f"{tmp_path}/embeddings.parquet")
     same_as_sql(spark, tmp_path, "band_stack")
+
+
+def forest(spark, path):
+    """3,840 crowns of 96 shapes, 16 crowns twice with different boxes, and 6,000 points over terrain of 100 columns."""
+    parts = spark.range(3840).select(F.col("id").alias("p_partkey"), (F.col("id") % 96 % 12).cast("int").alias("p_size"))
+    parts.union(parts.filter("p_partkey < 16").withColumn("p_size", F.col("p_size") + 1)).write.parquet(f"{path}/part.parquet")
+    h = lambda k, n: F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.lit(n))
+    lines = spark.range(6000).select(
+        h(0, 10_000).alias("l_orderkey"), (F.col("id") % 7).cast("int").alias("l_linenumber"), h(1, 10_000).alias("l_partkey"), h(2, 100).alias("l_suppkey"), (h(3, 11) / 100).alias("l_discount"),
+        (h(4, 9) / 100).alias("l_tax"), (h(5, 50) + 1).cast("double").alias("l_quantity"), (h(6, 10_000_000) / 100).alias("l_extendedprice"),
+    )
+    lines.write.parquet(f"{path}/lineitem.parquet")
+    orders = spark.range(11_000).select(F.col("id").alias("o_orderkey"), h(7, 1000).alias("o_custkey"), F.when(h(8, 3) == 0, "P").otherwise("O").alias("o_orderstatus"), (h(9, 40_000_000) / 100).alias("o_totalprice"))
+    orders.write.parquet(f"{path}/orders.parquet")
+    return path
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    return forest(spark, tmp_path_factory.mktemp("forest"))
+
+
+def joined_rows(monkeypatch, module, function):
+    """How many boxes or polygons go into each join with points."""
+    seen, real = [], getattr(module, function)
+    monkeypatch.setattr(module, function, lambda points, shapes, size=50.0: seen.append(shapes.count()) or real(points, shapes, size))
+    return seen
+
+
+def test_crown_point_join_joins_a_shape_once(spark, folder, monkeypatch):
+    from silvaspark.operators import spatial
+
+    seen = joined_rows(monkeypatch, spatial, "points_in_boxes")
+    assert len(same_as_sql(spark, folder, "crown_point_join")) > 1000
+    assert seen and max(seen) < 400
