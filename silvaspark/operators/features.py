@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import CROWN_FIELDS
 from .graph import written
-from .spatial import box_cells, points_in_boxes, points_in_polygons
+from .spatial import box_cells, distinct_shapes, points_in_boxes, points_in_polygons
 
 
 def rugosity(z: str = "z") -> Column:
@@ -63,27 +63,33 @@ def crown_metrics(crowns: DataFrame, points: DataFrame, extent: tuple[float, flo
     """All crown fields: ``crowns`` are boxes ``fid, xmin..ymax, area``, or polygons if they have ``rings`` too; ``points`` are all points with ``height, intensity, ndvi``.
 
     ``height`` is above the ground, and NULL for points that are no vegetation or over no ground.
-    Points are written once and joined to the boxes once; what lies inside, written too, serves
-    the first aggregate and, with its limits, the shares of the quarters. Counts are of points strictly
+    Points are written once. They are joined to the different boxes or polygons, not to crowns, which
+    take the metrics of their shape: all points for the first aggregate, those of vegetation again, with
+    its limits, for the shares of the quarters. Counts are of points strictly
     inside. Under three points of vegetation only the edge flag, counts and their ratio are given;
     without a point in a cell near its box a crown has NULLs only. ``size`` is the side of the
     join's cells, best near a crown's width. Empty tables of points give NULLs, of crowns no rows.
     """
     cloud = written(points.select("x", "y", F.col("height").alias("z"), "intensity", "ndvi"), "cloud")
-    if "rings" in crowns.columns:
-        joined = points_in_polygons(cloud, crowns.select("fid", "rings"), size)
-    else:
-        joined = points_in_boxes(cloud, crowns.select("fid", "xmin", "xmax", "ymin", "ymax"), size)
-    inside = written(joined.select("fid", "z", "intensity", "ndvi"), "inside")
+    sides = ("xmin", "xmax", "ymin", "ymax")
+    shapes, shape_of = distinct_shapes(crowns, (*sides, "rings") if "rings" in crowns.columns else sides)
+
+    def within(some: DataFrame) -> DataFrame:
+        if "rings" in crowns.columns:
+            return points_in_polygons(some, shapes.select("_shape", "rings"), size)
+        return points_in_boxes(some, shapes, size).drop(*sides)
+
     of = lambda c: F.when(F.col("z").isNotNull(), F.col(c))
-    main = inside.groupBy("fid").agg(
+    main = within(cloud).groupBy("_shape").agg(
         F.count("*").alias("n_points_all"), F.count("z").alias("n_points"), F.avg("z").alias("mean_height"), F.min("z").alias("_low"), F.max("z").alias("max_height"),
         F.avg(of("intensity")).alias("mean_intensity"), F.avg(of("ndvi")).alias("mean_ndvi"), rugosity().alias("rugosity"),
     )
     main = written(main, "metrics")
-    limits = main.filter("n_points >= 3").select("fid", "_low", (F.col("max_height") - F.col("_low")).alias("_range"), F.col("n_points").alias("_n"))
-    known = candidates(crowns, cloud, layers={"vegetation": F.col("z").isNotNull(), "all": F.lit(True)}).withColumn("_known", F.lit(True))
-    out = edge_flag(crowns, extent, edge_buffer).join(main, "fid", "left").join(vertical(inside.filter("z is not null").select("fid", "z"), limits=limits), "fid", "left").join(known, "fid", "left")
+    limits = main.filter("n_points >= 3").select("_shape", "_low", (F.col("max_height") - F.col("_low")).alias("_range"), F.col("n_points").alias("_n"))
+    shares = vertical(within(cloud.filter("z is not null").select("x", "y", "z")).select("_shape", "z"), "_shape", limits)
+    known = candidates(shapes.withColumnRenamed("_shape", "fid"), cloud, layers={"vegetation": F.col("z").isNotNull(), "all": F.lit(True)}).select(F.col("fid").alias("_shape"), F.lit(True).alias("_known"))
+    found = written(known.join(main, "_shape", "left").join(shares, "_shape", "left"), "shape-metrics")
+    out = edge_flag(crowns, extent, edge_buffer).join(shape_of.join(found, "_shape"), "fid", "left")
     n, n_all = F.coalesce("n_points", F.lit(0)), F.coalesce("n_points_all", F.lit(0))
     width = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
     enough = lambda c: F.when((n >= 3) & F.col("_known"), c)

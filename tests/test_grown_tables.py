@@ -70,3 +70,16 @@ def test_polygon_contains_join_joins_a_shape_once(spark, folder, monkeypatch):
     seen = joined_rows(monkeypatch, spatial, "points_in_polygons")
     assert len(same_as_sql(spark, folder, "polygon_contains_join")) > 1000
     assert seen and max(seen) < 400
+
+
+#: Queries that take all or some of the crown metrics.
+METRICS = ["crown_metrics"]
+
+
+@pytest.mark.parametrize("name", METRICS)
+def test_metrics_join_a_shape_once(spark, folder, monkeypatch, name):
+    from silvaspark.operators import features
+
+    seen = joined_rows(monkeypatch, features, "points_in_boxes")
+    assert same_as_sql(spark, folder, name) or name == "high_corr_pairs"
+    assert seen and max(seen) < 400
