@@ -73,7 +73,7 @@ def test_polygon_contains_join_joins_a_shape_once(spark, folder, monkeypatch):
 
 
 #: Queries that take all or some of the crown metrics.
-METRICS = ["crown_metrics", "corr_pearson", "high_veg_pct", "corr_spearman", "vertical_distribution", "corr_heatmap", "crown_filter_reasons"]
+METRICS = ["crown_metrics", "corr_pearson", "high_veg_pct", "corr_spearman", "vertical_distribution", "corr_heatmap", "crown_filter_reasons", "high_corr_pairs"]
 
 
 @pytest.mark.parametrize("name", METRICS)
