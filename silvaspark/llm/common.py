@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from itertools import accumulate
 
 import numpy as np
@@ -136,9 +138,18 @@ def calm() -> None:
     gc.set_threshold(200_000, 20, 100)
 
 
+def release() -> None:
+    """Give memory back that an earlier task of this worker held: what it kept for words lives in cycles, and free memory stays with the process."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, most: int = SLICE_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Parts of the batches, of at most ``rows`` rows and about ``most`` bytes of ``column``; a longer text is a part of its own."""
     calm()
+    release()
     for batch in batches:
         sizes = None
         if column in batch.schema.names:
@@ -165,6 +176,8 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
         function = make()
         for part in slices(batches, rows):
             yield function(part)
+        del function
+        release()
 
     return df.mapInArrow(run, schema)
 

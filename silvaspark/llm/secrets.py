@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, Memo, map_slices, slices, texts_of, word_table
+from .common import Kept, Memo, map_slices, release, slices, texts_of, word_table
 
 # The base patterns, their least lengths, and the order of the kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -42,7 +42,7 @@ TAGS = ("O", "B", "I")
 OUT, BEGIN, INSIDE = range(3)
 #: Texts and stretches of lines that the field is trained on, at most, and the tokens of a stretch; a line of any length is cut into stretches.
 FIT_ROWS, FIT_LINES, LINE_TOKENS = 2_000, 900, 60
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
 #: A span must beat "outside" by so much, per span.
 MARGIN = 3.0
 
@@ -487,5 +487,7 @@ def without_secrets(docs: DataFrame, model: Field | None = None) -> DataFrame:
                     columns[k] = pa.array([len(t) if f else w for t, f, w in zip(new, found, was, strict=True)], part.schema.field(k).type)
                 part = pa.RecordBatch.from_arrays(columns, schema=part.schema)
             yield part
+        del finder
+        release()
 
     return docs.mapInArrow(run, docs.schema)

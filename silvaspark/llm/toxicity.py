@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, Memo, held_out, map_slices, slices, texts_of, word_table
+from .common import Kept, Memo, held_out, map_slices, release, slices, texts_of, word_table
 
 # Common English terms of abuse.
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "imbecile", "bastard", "vermin", "filthy")
@@ -39,7 +39,7 @@ WINDOW = 12
 #: Labelled rows that the lexicon and its weights are learned from, at most.
 FIT_ROWS = 8_000
 SHORTEST, LONGEST = 4, 8
-MEMO_WORDS, STATES = 600_000, 200_000
+MEMO_WORDS, STATES = 300_000, 200_000
 
 
 def edits(length: int) -> int:
@@ -351,5 +351,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, toxic_from: float = 0.5) -
         scores = model.scorer()
         for part in slices(batches):
             yield part.filter(pa.array(scores(texts_of(part)) < toxic_from, pa.bool_()))
+        del scores
+        release()
 
     return docs.mapInArrow(run, docs.schema)
