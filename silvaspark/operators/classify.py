@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import Landscape
 from ..schema import CLASSES
+from . import forest
 
 
 def class_map(spark) -> DataFrame:
@@ -69,23 +67,16 @@ def stratified_split(df: DataFrame, order: tuple[str, ...], test_size: float = 0
     return df.withColumn("_place", place).join(F.broadcast(sizes), column).withColumn("is_test", F.col("_place") <= F.round(F.col("_n") * test_size)).drop("_place", "_n")
 
 
-def _vectors(df: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="_features").transform(df)
+def train_forest(train: DataFrame, features: list[str], params: Landscape = Landscape()) -> forest.Forest:
+    """A balanced random forest; trees are at most 30 deep. Trees stay in the shared folder."""
+    whole = train.dropna(how="any", subset=[*features, "class_id"])
+    weighted = whole.join(F.broadcast(balanced_weights(whole).select("class_id", "weight")), "class_id")
+    return forest.train(weighted, features, params.n_estimators, min(params.max_depth or 30, 30), params.min_samples_leaf, params.seed)
 
 
-def train_forest(train: DataFrame, features: list[str], params: Landscape = Landscape()) -> RandomForestClassificationModel:
-    """A balanced random forest; trees are at most 30 deep, the deepest that the library allows."""
-    weighted = train.join(F.broadcast(balanced_weights(train).select("class_id", "weight")), "class_id")
-    forest = RandomForestClassifier(featuresCol="_features", labelCol="_label", weightCol="weight", numTrees=params.n_estimators, maxDepth=min(params.max_depth or 30, 30), minInstancesPerNode=params.min_samples_leaf, featureSubsetStrategy="sqrt", seed=params.seed, maxMemoryInMB=512)
-    return forest.fit(_vectors(weighted, features).withColumn("_label", F.col("class_id").cast("double")))
-
-
-def predict(model: RandomForestClassificationModel, stack: DataFrame, features: list[str]) -> DataFrame:
+def predict(model: forest.Forest, stack: DataFrame, features: list[str]) -> DataFrame:
     """``prediction`` and ``confidence`` of complete rows; others keep NULLs."""
-    scored = model.transform(_vectors(stack.dropna(how="any", subset=features), features))
-    kept = scored.withColumn("confidence", F.array_max(vector_to_array("probability"))).withColumn("prediction", F.col("prediction").cast("int"))
-    rest = stack.filter(" or ".join(f"{f} is null" for f in features)).withColumn("confidence", F.lit(None).cast("double")).withColumn("prediction", F.lit(None).cast("int"))
-    return kept.select(*stack.columns, "confidence", "prediction").unionByName(rest)
+    return forest.predict(model, stack)
 
 
 def confusion(scored: DataFrame) -> DataFrame:
@@ -108,7 +99,7 @@ def report(matrix: DataFrame) -> DataFrame:
 
 
 def importances(spark, model: RandomForestClassificationModel, features: list[str]) -> DataFrame:
-    found = sorted(zip(features, model.featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])
+    found = sorted(zip(features, model.importances(), strict=True), key=lambda x: -x[1])
     return spark.createDataFrame([(f, round(v, 6)) for f, v in found], "feature string, importance double")
 
 
