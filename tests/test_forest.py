@@ -81,3 +81,13 @@ def forest_leaves(tree, bins):
 def test_no_training_rows(spark, model):
     empty = hills(spark, 10).filter("id < 0")
     assert classify.predict(model, empty, ["u", "v", "w"]).count() == 0
+
+
+@pytest.mark.parametrize("name", ["classification_report"])
+def test_queries_grow_no_trees_on_the_driver(spark, monkeypatch, name):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from silvaspark.plans.catalogue import QUERIES
+
+    monkeypatch.setattr(RandomForestClassifier, "fit", None)
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
