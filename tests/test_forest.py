@@ -83,7 +83,7 @@ def test_no_training_rows(spark, model):
     assert classify.predict(model, empty, ["u", "v", "w"]).count() == 0
 
 
-@pytest.mark.parametrize("name", ["classification_report", "rf_importance"])
+@pytest.mark.parametrize("name", ["classification_report", "rf_importance", "confusion_matrix"])
 def test_queries_grow_no_trees_on_the_driver(spark, monkeypatch, name):
     from pyspark.ml.classification import RandomForestClassifier
 
