@@ -27,7 +27,7 @@ MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class ByteTokens:
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int = MEMO_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
@@ -38,7 +38,7 @@ class ByteTokens:
         self.letters = dict.fromkeys(shown) | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
         self.letters |= {b: chr(b) for b in shown}
         self.marks = Kept(lambda marks: [self.merged(m) for m in marks], 10_000, LONGEST)
-        self.kept = Kept(self.fresh, MEMO_WORDS, LONGEST)
+        self.kept = Kept(self.fresh, keep, LONGEST)
         #: Whether an id's piece starts with a space or a line feed, in the vocabulary's letters for bytes.
         self.opens = np.zeros(self.library.get_vocab_size(), bool)
         for piece, i in self.library.get_vocab().items():
@@ -139,6 +139,6 @@ class ByteTokens:
 
 
 @lru_cache(maxsize=2)
-def tokens(path: str) -> ByteTokens:
+def tokens(path: str, keep: int = MEMO_WORDS) -> ByteTokens:
     """One encoder for a Python worker, kept between its tasks."""
-    return ByteTokens(path)
+    return ByteTokens(path, keep)

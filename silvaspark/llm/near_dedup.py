@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..operators import graph
-from .common import fresh, map_slices, slices, spread_join, texts_of, written
+from .common import fresh, map_slices, release, slices, spread_join, texts_of, written
 from .hashing import mix, stretches
 
 BANDS, ROWS, MANTISSA = 48, 6, 10
@@ -264,6 +264,7 @@ def passing(regs: np.ndarray, n: np.ndarray, of: np.ndarray, half: np.ndarray, p
 
 def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of rows with equal ``keys`` from sorted batches, one table for each."""
+    release()
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .byte_tokens import tokens
+from .byte_tokens import MEMO_WORDS, tokens
 from .common import slices, texts_of
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -162,7 +162,7 @@ def chosen(sequences: list[Sequence], room: int) -> tuple[list[Sequence], list[S
     return [s for i, s in enumerate(sequences) if i in taken], [s for i, s in enumerate(sequences) if i not in taken]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, least: int = 256, step: int = 16, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, least: int = 256, step: int = 16, end_id: int = 0, keep: int = MEMO_WORDS) -> DataFrame:
     """Pieces of all documents in sequences of ``window`` ids and of shorter tiers: the columns of ``SCHEMA``.
 
     Every id of a document and its end id lies in one piece. ``tier`` is the length of the
@@ -180,7 +180,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, least: int =
     room = step * window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = tokens(tokenizer_path), Packer(window, least)
+        encoder, packer = tokens(tokenizer_path, keep), Packer(window, least)
         end = end_id.to_bytes(4, "little")
         context = TaskContext.get()
         high = (context.partitionId() if context else 0) << 40

@@ -42,7 +42,9 @@ TAGS = ("O", "B", "I")
 OUT, BEGIN, INSIDE = range(3)
 #: Texts and stretches of lines that the field is trained on, at most, and the tokens of a stretch; a line of any length is cut into stretches.
 FIT_ROWS, FIT_LINES, LINE_TOKENS = 2_000, 900, 60
-MEMO_WORDS = 300_000
+MEMO_WORDS = 600_000
+#: Words that a stage of a chain keeps, where the executor holds the stages before it.
+STAGE_WORDS = 100_000
 #: A span must beat "outside" by so much, per span.
 MARGIN = 3.0
 
@@ -347,18 +349,18 @@ def fit(docs: DataFrame, max_rows: int = FIT_ROWS, max_lines: int = FIT_LINES) -
 class Finder:
     """Base matches and spans of the field in whole texts."""
 
-    def __init__(self, model: Field):
+    def __init__(self, model: Field, keep: int = MEMO_WORDS):
         self.model = model
         model.settle()
         edges = np.array([(EDGE, (0.0, 0.0))] * 2, SEEN).tobytes()
-        shape, self.of_names = Memo(self.shape, MEMO_WORDS), Memo(self.of_features, MEMO_WORDS, 200)
+        shape, self.of_names = Memo(self.shape, keep), Memo(self.of_features, keep, 200)
 
         def seen(words: list[str]) -> list[bytes]:
             return [edges.join(b"".join([shape[t] for t in TOKEN.findall(part)]) for part in word.split("\n")) for word in words]
 
-        self.seen = Kept(seen, MEMO_WORDS)
-        self.matches = Kept(lambda words: [bool(MAY_MATCH[0].search(w) or MAY_MATCH[1].search(w)) for w in words], MEMO_WORDS)
-        self.own = Memo(lambda token: model.emission(own(token)), MEMO_WORDS)
+        self.seen = Kept(seen, keep)
+        self.matches = Kept(lambda words: [bool(MAY_MATCH[0].search(w) or MAY_MATCH[1].search(w)) for w in words], keep)
+        self.own = Memo(lambda token: model.emission(own(token)), keep)
 
     def shape(self, token: str) -> bytes:
         return self.of_names["\t".join(own(token))]
@@ -473,7 +475,7 @@ def without_secrets(docs: DataFrame, model: Field | None = None) -> DataFrame:
     model = model or fit(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(model)
+        finder = Finder(model, STAGE_WORDS)
         for part in slices(batches):
             texts = part.column("text").to_pylist()
             found = [base + more for base, more in finder.spans_of([t or "" for t in texts])]

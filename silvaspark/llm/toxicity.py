@@ -39,7 +39,9 @@ WINDOW = 12
 #: Labelled rows that the lexicon and its weights are learned from, at most.
 FIT_ROWS = 8_000
 SHORTEST, LONGEST = 4, 8
-MEMO_WORDS, STATES = 300_000, 200_000
+MEMO_WORDS, STATES = 600_000, 200_000
+#: Words that a stage of a chain keeps, where the executor holds the stages before it.
+STAGE_WORDS = 300_000
 
 
 def edits(length: int) -> int:
@@ -179,9 +181,9 @@ class Model:
     terms: dict[str, bool]
     weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES))
 
-    def hits(self) -> Memo:
+    def hits(self, keep: int = MEMO_WORDS) -> Memo:
         automaton = Automaton(self.terms)
-        known = Memo(automaton.find, MEMO_WORDS)
+        known = Memo(automaton.find, keep)
 
         def find(word: str) -> tuple[int, str] | None:
             return known[word] if len(word) > 2 else None
@@ -199,12 +201,12 @@ class Model:
                 hits[first] = find(word.strip("".join({c for c in word if not c.isalnum()})))
             return [(p, h, alone) for p, h in zip(parts, hits, strict=True)]
 
-        return Memo(places, MEMO_WORDS)
+        return Memo(places, keep)
 
-    def scorer(self) -> Callable[[list[str]], np.ndarray]:
+    def scorer(self, keep: int = MEMO_WORDS) -> Callable[[list[str]], np.ndarray]:
         """Scores of whole texts; only those with a hit are looked at word by word."""
-        places = self.hits()
-        hit = Kept(lambda words: [any(p[1] for w in word.split() for p in places.function(w)) for word in words], MEMO_WORDS)
+        places = self.hits(keep)
+        hit = Kept(lambda words: [any(p[1] for w in word.split() for p in places.function(w)) for word in words], keep)
         none = [1.0] + [0.0] * (FEATURES - 1)
 
         def scores(texts: list[str]) -> np.ndarray:
@@ -348,7 +350,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, toxic_from: float = 0.5) -
     model = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = model.scorer()
+        scores = model.scorer(STAGE_WORDS)
         for part in slices(batches):
             yield part.filter(pa.array(scores(texts_of(part)) < toxic_from, pa.bool_()))
         del scores
