@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .byte_tokens import MEMO_WORDS, tokens
+from .byte_tokens import MEMO_WORDS, ByteTokens, tokens
 from .common import slices, texts_of
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -180,7 +180,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, least: int =
     room = step * window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = tokens(tokenizer_path, keep), Packer(window, least)
+        # kept between tasks for the whole memory only; a stage of a chain leaves nothing behind
+        encoder, packer = tokens(tokenizer_path) if keep == MEMO_WORDS else ByteTokens(tokenizer_path, keep), Packer(window, least)
         end = end_id.to_bytes(4, "little")
         context = TaskContext.get()
         high = (context.partitionId() if context else 0) << 40
