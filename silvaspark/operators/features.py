@@ -43,29 +43,28 @@ def candidates(crowns: DataFrame, points: DataFrame, size: float = 50.0, layers:
     """``fid`` of crowns whose box meets a cell of ``size`` that holds a point; cells start at the points' least x and y.
 
     ``layers`` are conditions, each of which makes a grid of its own from the points that meet it;
-    a crown counts if any grid has a cell. All grids come from one scan. Without points there are none.
+    a crown counts if any grid has a cell. A grid is one scan and one aggregate. Without points there are none.
     """
     layers = layers or {"all": F.lit(True)}
     least = [F.min(F.when(on, F.col(axis))).alias(f"{axis}{k}") for k, on in enumerate(layers.values()) for axis in "xy"]
     origins = points.agg(*least)
-    at = [(origins.select(f"x{k}").scalar(), origins.select(f"y{k}").scalar()) for k in range(len(layers))]
-    cells = F.array(*[F.when(on, F.struct(F.lit(k).alias("g"), F.floor((F.col("x") - x0) / size).alias("_cx"), F.floor((F.col("y") - y0) / size).alias("_cy"))) for k, (on, (x0, y0)) in enumerate(zip(layers.values(), at, strict=True))])
-    held = points.select(F.explode(F.array_compact(cells)).alias("c")).select("c.*").distinct()
     boxes = crowns.select("fid", "xmin", "xmax", "ymin", "ymax")
-    spread = None
-    for k, (x0, y0) in enumerate(at):
-        part = box_cells(boxes.filter(x0.isNotNull()), size, x0, y0).select("fid", F.lit(k).alias("g"), "_cx", "_cy")
-        spread = part if spread is None else spread.union(part)
-    return spread.join(held, ["g", "_cx", "_cy"]).select("fid").distinct()
+    found = None
+    for k, on in enumerate(layers.values()):
+        x0, y0 = origins.select(f"x{k}").scalar(), origins.select(f"y{k}").scalar()
+        held = points.filter(on).select(F.floor((F.col("x") - x0) / size).alias("_cx"), F.floor((F.col("y") - y0) / size).alias("_cy")).distinct()
+        part = box_cells(boxes.filter(x0.isNotNull()), size, x0, y0).join(held, ["_cx", "_cy"]).select("fid")
+        found = part if found is None else found.union(part)
+    return found.distinct()
 
 
-def crown_metrics(crowns: DataFrame, points: DataFrame, extent: tuple[float, float, float, float], edge_buffer: float = 1.0, size: float = 5.0) -> DataFrame:
-    """All crown fields: ``crowns`` are boxes ``fid, xmin..ymax, area``, or polygons if they have ``rings`` too; ``points`` are all points with ``height, intensity, ndvi``.
+def crown_metrics(crowns: DataFrame, points: DataFrame, extent: tuple[float, float, float, float], edge_buffer: float = 1.0, size: float = 5.0, fields: tuple[str, ...] = CROWN_FIELDS) -> DataFrame:
+    """Crown ``fields``, by default all: ``crowns`` are boxes ``fid, xmin..ymax, area``, or polygons if they have ``rings`` too; ``points`` are all points with ``height, intensity, ndvi``.
 
     ``height`` is above the ground, and NULL for points that are no vegetation or over no ground.
     Points are written once. They are joined to the different boxes or polygons, not to crowns, which
     take the metrics of their shape: all points for the first aggregate, those of vegetation again, with
-    its limits, for the shares of the quarters. Counts are of points strictly
+    its limits, for the shares of the quarters, if any of these is among the fields. Counts are of points strictly
     inside. Under three points of vegetation only the edge flag, counts and their ratio are given;
     without a point in a cell near its box a crown has NULLs only. ``size`` is the side of the
     join's cells, best near a crown's width. Empty tables of points give NULLs, of crowns no rows.
@@ -85,16 +84,19 @@ def crown_metrics(crowns: DataFrame, points: DataFrame, extent: tuple[float, flo
         F.avg(of("intensity")).alias("mean_intensity"), F.avg(of("ndvi")).alias("mean_ndvi"), rugosity().alias("rugosity"),
     )
     main = written(main, "metrics")
-    limits = main.filter("n_points >= 3").select("_shape", "_low", (F.col("max_height") - F.col("_low")).alias("_range"), F.col("n_points").alias("_n"))
-    shares = vertical(within(cloud.filter("z is not null").select("x", "y", "z")).select("_shape", "z"), "_shape", limits)
+    metrics = main
+    if any(f.startswith("vert_dist") for f in fields):
+        limits = main.filter("n_points >= 3").select("_shape", "_low", (F.col("max_height") - F.col("_low")).alias("_range"), F.col("n_points").alias("_n"))
+        shares = vertical(within(cloud.filter("z is not null").select("x", "y", "z")).select("_shape", "z"), "_shape", limits)
+        metrics = main.join(shares, "_shape", "left")
     known = candidates(shapes.withColumnRenamed("_shape", "fid"), cloud, layers={"vegetation": F.col("z").isNotNull(), "all": F.lit(True)}).select(F.col("fid").alias("_shape"), F.lit(True).alias("_known"))
-    found = written(known.join(main, "_shape", "left").join(shares, "_shape", "left"), "shape-metrics")
+    found = written(known.join(metrics, "_shape", "left"), "shape-metrics")
     out = edge_flag(crowns, extent, edge_buffer).join(shape_of.join(found, "_shape"), "fid", "left")
     n, n_all = F.coalesce("n_points", F.lit(0)), F.coalesce("n_points_all", F.lit(0))
     width = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
     enough = lambda c: F.when((n >= 3) & F.col("_known"), c)
     seen = lambda c: F.when(F.col("_known"), c)
-    fields = {
+    made = {
         "mean_height": enough(F.col("mean_height")),
         "max_height": enough(F.col("max_height")),
         "crown_area_m2": enough(F.col("area")),
@@ -108,4 +110,4 @@ def crown_metrics(crowns: DataFrame, points: DataFrame, extent: tuple[float, flo
         "is_edge": seen(F.col("is_edge")),
         "pct_high_veg": seen(F.when(n_all > 0, 100.0 * n / n_all).otherwise(0.0)),
     }
-    return out.select("fid", *[fields.get(c, enough(F.col(c))).alias(c) for c in CROWN_FIELDS])
+    return out.select("fid", *[(made[c] if c in made else enough(F.col(c))).alias(c) for c in fields])

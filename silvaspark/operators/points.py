@@ -26,9 +26,15 @@ def normalise_heights(points: DataFrame, terrain: DataFrame, meta: RasterMeta, d
 
 
 def vegetation_heights(points: DataFrame, terrain: DataFrame, meta: RasterMeta, classes: tuple[int, ...] = (5,)) -> DataFrame:
-    """All points with ``height`` above the ground, NULL for other classes and over no ground."""
-    placed = normalise_heights(points.withColumn("_z", F.col("z")), terrain, meta, drop=False)
-    return placed.withColumn("height", F.when(F.col("classification").isin(*classes) & F.col("good"), F.col("z"))).withColumn("z", F.col("_z")).drop("_z", "good")
+    """All points with ``height`` above the ground, NULL for other classes and over no ground.
+
+    Only points of the classes meet the terrain; the others, a NULL class among them, are not shuffled.
+    """
+    chosen = F.coalesce(F.col("classification").isin(*classes), F.lit(False))
+    placed = normalise_heights(points.filter(chosen).withColumn("_z", F.col("z")), terrain, meta, drop=False)
+    above = placed.withColumn("height", F.when(F.col("good"), F.col("z"))).withColumn("z", F.col("_z")).drop("_z", "good")
+    others = points.filter(~chosen).withColumn("height", F.lit(None).cast(above.schema["height"].dataType))
+    return above.unionByName(others)
 
 
 def exact_percentile(points: DataFrame, share: float, column: str = "z", most: int = 100_000) -> float | None:
