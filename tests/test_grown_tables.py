@@ -95,7 +95,7 @@ def met_terrain(monkeypatch):
 
 
 #: Those of them that were measured at 60 times sf0.1 with this.
-LIGHT = ["corr_pearson"]
+LIGHT = ["corr_pearson", "high_veg_pct"]
 
 
 @pytest.mark.parametrize("name", LIGHT)
@@ -103,3 +103,11 @@ def test_only_vegetation_meets_the_terrain(spark, folder, monkeypatch, name):
     seen = met_terrain(monkeypatch)
     assert same_as_sql(spark, folder, name) or name == "high_corr_pairs"
     assert seen and max(seen) < 20_000
+
+
+def test_high_veg_pct_joins_points_once(spark, folder, monkeypatch):
+    from silvaspark.operators import features
+
+    seen = joined_rows(monkeypatch, features, "points_in_boxes")
+    assert same_as_sql(spark, folder, "high_veg_pct")
+    assert len(seen) == 1
