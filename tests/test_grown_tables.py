@@ -95,7 +95,7 @@ def met_terrain(monkeypatch):
 
 
 #: Those of them that were measured at 60 times sf0.1 with this.
-LIGHT = ["corr_pearson", "high_veg_pct"]
+LIGHT = ["corr_pearson", "high_veg_pct", "corr_spearman"]
 
 
 @pytest.mark.parametrize("name", LIGHT)
