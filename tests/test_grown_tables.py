@@ -95,7 +95,7 @@ def met_terrain(monkeypatch):
 
 
 #: Those of them that were measured at 60 times sf0.1 with this.
-LIGHT = ["corr_pearson", "high_veg_pct", "corr_spearman", "vertical_distribution", "corr_heatmap", "crown_filter_reasons"]
+LIGHT = ["corr_pearson", "high_veg_pct", "corr_spearman", "vertical_distribution", "corr_heatmap", "crown_filter_reasons", "high_corr_pairs"]
 
 
 @pytest.mark.parametrize("name", LIGHT)
