@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 2048
 #: Bytes of text that a Python function holds at once, beside one longer text.
 SLICE_BYTES = 8 << 20
+#: The same for a stage of a chain, where the executor holds the stages before it.
+STAGE_ROWS, STAGE_BYTES = 512, 2 << 20
 #: Characters of SQL white space: space and the control characters 9 to 13.
 BLANKS = "\\x20\\x09-\\x0D"
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, Memo, map_slices, release, slices, texts_of, word_table
+from .common import STAGE_BYTES, STAGE_ROWS, Kept, Memo, map_slices, release, slices, texts_of, word_table
 
 # The base patterns, their least lengths, and the order of the kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -476,7 +476,7 @@ def without_secrets(docs: DataFrame, model: Field | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(model, STAGE_WORDS)
-        for part in slices(batches):
+        for part in slices(batches, STAGE_ROWS, STAGE_BYTES):
             texts = part.column("text").to_pylist()
             found = [base + more for base, more in finder.spans_of([t or "" for t in texts])]
             if any(found):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, Memo, held_out, map_slices, release, slices, texts_of, word_table
+from .common import STAGE_BYTES, STAGE_ROWS, Kept, Memo, held_out, map_slices, release, slices, texts_of, word_table
 
 # Common English terms of abuse.
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "imbecile", "bastard", "vermin", "filthy")
@@ -351,7 +351,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, toxic_from: float = 0.5) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = model.scorer(STAGE_WORDS)
-        for part in slices(batches):
+        for part in slices(batches, STAGE_ROWS, STAGE_BYTES):
             yield part.filter(pa.array(scores(texts_of(part)) < toxic_from, pa.bool_()))
         del scores
         release()

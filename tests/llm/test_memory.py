@@ -2,6 +2,7 @@
 
 import weakref
 
+import numpy as np
 import pyarrow as pa
 
 from silvaspark.llm.common import Kept, calm, slices
@@ -26,3 +27,37 @@ def test_a_task_frees_what_the_last_one_kept():
     batch = pa.RecordBatch.from_arrays([pa.array(["x"])], names=["text"])
     assert [b.num_rows for b in slices(iter([batch]))] == [1]
     assert seen() is None
+
+
+class Captured:
+    """Documents whose function of batches is taken instead of run by Spark."""
+
+    schema = None
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_stages_of_the_chain_hold_little_text_at_once(monkeypatch):
+    """512 rows or 2 MB, a quarter of what the queries hold; every row comes out, changed as it should be."""
+    from silvaspark.llm import secrets, toxicity
+
+    seen = []
+    real = secrets.Finder.spans_of
+    monkeypatch.setattr(secrets.Finder, "spans_of", lambda self, texts: seen.append((len(texts), sum(map(len, texts)))) or real(self, texts))
+    monkeypatch.setattr(toxicity, "fit", lambda docs, labels: toxicity.Model({"idiot": True}, np.array([-3.0, 1, 0.2, 0.5, 0.1, 1, 1, 0, 1])))
+    scorer = toxicity.Model.scorer
+
+    def watched(self, keep):
+        scores = scorer(self, keep)
+        return lambda texts: seen.append((len(texts), sum(map(len, texts)))) or scores(texts)
+
+    monkeypatch.setattr(toxicity.Model, "scorer", watched)
+    texts = ["word " * 20 + f"n{i} password = abcdef{i:06}" for i in range(1500)] + ["long words " * 30_000] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    masked = [t for b in secrets.without_secrets(Captured(), secrets.Field())(iter([batch])) for t in b.column("text").to_pylist()]
+    assert masked == [t[: t.index("password")] + "[SECRET]" if "password" in t else t for t in texts]
+    assert sum(n for n, _ in seen) == len(texts) and max(n for n, _ in seen) <= 512 and max(size for _, size in seen) <= 2 << 20
+    seen.clear()
+    kept = [i for b in toxicity.without_toxic(Captured(), None)(iter([batch])) for i in b.column("doc_id").to_pylist()]
+    assert kept == list(range(len(texts))) and sum(n for n, _ in seen) == len(texts) and max(n for n, _ in seen) <= 512 and max(size for _, size in seen) <= 2 << 20
