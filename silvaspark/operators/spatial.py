@@ -25,7 +25,7 @@ def distinct_shapes(polygons: DataFrame, columns: tuple[str, ...]) -> tuple[Data
     shape of several rows; those with a NULL in ``columns`` meet no points and have none.
     """
     parts = F.sort_array(F.collect_list(F.struct(*columns))).alias("_parts")
-    of = polygons.dropna(subset=list(columns)).groupBy("fid").agg(parts)
+    of = written(polygons.dropna(subset=list(columns)).groupBy("fid").agg(parts), "parts")
     shapes = written(of.select("_parts").distinct().withColumn("_shape", F.monotonically_increasing_id()), "shapes")
     return shapes.select("_shape", F.explode("_parts").alias("_p")).select("_shape", "_p.*"), of.join(shapes, "_parts").select("fid", "_shape")
 
