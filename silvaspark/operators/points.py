@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import written
 from .grid import RasterMeta, dilate, with_cell
 
 
@@ -25,13 +26,27 @@ def normalise_heights(points: DataFrame, terrain: DataFrame, meta: RasterMeta, d
     return joined.withColumn("z", F.col("z") - F.col("_ground")).drop("_ground", "_row", "_col")
 
 
-def vegetation_heights(points: DataFrame, terrain: DataFrame, meta: RasterMeta, classes: tuple[int, ...] = (5,)) -> DataFrame:
+def terrain_under(points: DataFrame, terrain: DataFrame, meta: RasterMeta) -> DataFrame:
+    """The terrain cells within the rows and columns that points span, written; none without points.
+
+    One aggregate of the points. What is left may be small enough to be broadcast, so that the points stay where they are.
+    """
+    row, col = F.col("_row"), F.col("_col")
+    span = with_cell(points, meta, clip=False, names=("_row", "_col")).agg(F.min(row), F.max(row), F.min(col), F.max(col)).first()
+    if None in span:
+        return terrain.filter("false")
+    return written(terrain.filter(F.col("row").between(span[0], span[1]) & F.col("col").between(span[2], span[3])), "terrain")
+
+
+def vegetation_heights(points: DataFrame, terrain: DataFrame, meta: RasterMeta, classes: tuple[int, ...] = (5,), under: bool = True) -> DataFrame:
     """All points with ``height`` above the ground, NULL for other classes and over no ground.
 
-    Only points of the classes meet the terrain; the others, a NULL class among them, are not shuffled.
+    Only points of the classes meet the terrain, with ``under`` only the terrain that these span; the others, a
+    NULL class among them, are not shuffled. ``under`` may change the order of the points, and so the last bit of their sums.
     """
     chosen = F.coalesce(F.col("classification").isin(*classes), F.lit(False))
-    placed = normalise_heights(points.filter(chosen).withColumn("_z", F.col("z")), terrain, meta, drop=False)
+    ground = terrain_under(points.filter(chosen), terrain, meta) if under else terrain
+    placed = normalise_heights(points.filter(chosen).withColumn("_z", F.col("z")), ground, meta, drop=False)
     above = placed.withColumn("height", F.when(F.col("good"), F.col("z"))).withColumn("z", F.col("_z")).drop("_z", "good")
     others = points.filter(~chosen).withColumn("height", F.lit(None).cast(above.schema["height"].dataType))
     return above.unionByName(others)

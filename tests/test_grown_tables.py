@@ -111,3 +111,13 @@ def test_high_veg_pct_joins_points_once(spark, folder, monkeypatch):
     seen = joined_rows(monkeypatch, features, "points_in_boxes")
     assert same_as_sql(spark, folder, "high_veg_pct")
     assert len(seen) == 1
+
+
+@pytest.mark.parametrize("name", [n for n in LIGHT if n not in ("corr_spearman", "corr_pearson")])
+def test_points_meet_the_terrain_under_them(spark, folder, monkeypatch, name):
+    from silvaspark.operators import points
+
+    seen, real = [], points.normalise_heights
+    monkeypatch.setattr(points, "normalise_heights", lambda some, terrain, *a, **k: seen.append(terrain.count()) or real(some, terrain, *a, **k))
+    assert same_as_sql(spark, folder, name) or name == "high_corr_pairs"
+    assert seen and max(seen) <= 10_000  # of 11,000 cells
