@@ -36,7 +36,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 1024 ids; the tokenizer keeps fewer words, as the stages before have left less memory."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=400_000)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=200_000)
 
 
 STAGES = [
