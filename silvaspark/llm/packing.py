@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .byte_tokens import MEMO_WORDS, ByteTokens, tokens
-from .common import slices, texts_of
+from .common import STAGE_ROWS, slices, texts_of
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 #: Documents packed at once; what stays open goes on to the next.
@@ -200,7 +200,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, least: int =
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
         for batch in slices(batches, BATCH_ROWS):
-            coded = encoder.encode(texts_of(batch))
+            texts, most = texts_of(batch), BATCH_ROWS if keep == MEMO_WORDS else STAGE_ROWS // 2
+            coded = [c for k in range(0, len(texts), most) for c in encoder.encode(texts[k : k + most])]
             for one in packer.pack(zip(batch.column("doc_id").to_pylist(), (c + end for c in coded), strict=True)):
                 pending.append(one)
                 held += one[0]
