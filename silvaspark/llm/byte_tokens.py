@@ -32,6 +32,8 @@ class ByteTokens:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.model = self.library.model
+        if keep < MEMO_WORDS and hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # the words kept here do its work; it grows to 50 MB
         self.raw = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         #: The vocabulary's letters for bytes: what shows stands for itself, the others for the letters from 256 on.
@@ -44,6 +46,11 @@ class ByteTokens:
         for piece, i in self.library.get_vocab().items():
             self.opens[i] = piece[0] in "ĠĊ"
 
+    def forget(self) -> None:
+        """Let go of the words kept so far."""
+        for kept in (self.marks, self.kept):
+            kept.clear()
+
     def whole(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, by the library alone."""
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -139,6 +146,6 @@ class ByteTokens:
 
 
 @lru_cache(maxsize=2)
-def tokens(path: str) -> ByteTokens:
-    """One encoder for a Python worker, kept between its tasks."""
-    return ByteTokens(path)
+def tokens(path: str, keep: int = MEMO_WORDS) -> ByteTokens:
+    """One encoder for a Python worker, kept between its tasks: of a library that has encoded and goes, 30 MB never come back."""
+    return ByteTokens(path, keep)

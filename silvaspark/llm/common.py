@@ -22,7 +22,7 @@ SLICE_ROWS = 2048
 #: Bytes of text that a Python function holds at once, beside one longer text.
 SLICE_BYTES = 8 << 20
 #: The same for a stage of a chain, where the executor holds the stages before it.
-STAGE_ROWS, STAGE_BYTES = 512, 2 << 20
+STAGE_ROWS, STAGE_BYTES = 256, 512 << 10
 #: Characters of SQL white space: space and the control characters 9 to 13.
 BLANKS = "\\x20\\x09-\\x0D"
 
@@ -238,6 +238,9 @@ class Kept:
             self.old, self.young = young, {}
         return found
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
 
 def word_table(texts: list[str]) -> tuple[list[str], list[int], list[int]]:
     """Texts cut at every space: the different words, the word of each place, and each text's first place."""

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..operators import graph
-from .common import fresh, map_slices, release, slices, spread_join, texts_of, written
+from .common import SLICE_ROWS, STAGE_ROWS, fresh, map_slices, release, slices, spread_join, texts_of, written
 from .hashing import mix, stretches
 
 BANDS, ROWS, MANTISSA = 48, 6, 10
@@ -120,8 +120,8 @@ def lowest(percent: int) -> float:
     return threshold - SLACK * math.sqrt(threshold * (1 - threshold) / REGISTERS)
 
 
-def sketch_table(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (shingles), sig (digest of the set), regs (registers as bytes, null for an empty set)."""
+def sketch_table(docs: DataFrame, words: int, rows: int = SLICE_ROWS) -> DataFrame:
+    """doc_id, n (shingles), sig (digest of the set), regs (registers as bytes, null for an empty set); ``rows`` are sketched at once."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -134,7 +134,7 @@ def sketch_table(docs: DataFrame, words: int) -> DataFrame:
 
         return run
 
-    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, n long, sig binary, regs binary")
+    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, n long, sig binary, regs binary", rows)
 
 
 def _bit(name: str):
@@ -360,9 +360,9 @@ def _apart(bands: DataFrame, labels: DataFrame) -> DataFrame:
     return held.select("key", "id", "n", "of", F.when(F.col("of") == F.col("of1"), F.col("hub2")).otherwise(F.col("hub1")).alias("hub"))
 
 
-def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """For every row: doc_id, n, component_id, kept, sig (null without shingles or doc_id)."""
-    table = written(sketch_table(docs, words), "near-sketches")
+def _labelled(docs: DataFrame, words: int, percent: int, rows: int = SLICE_ROWS) -> DataFrame:
+    """For every row: doc_id, n, component_id, kept, sig (null without shingles or doc_id); ``rows`` are sketched at once."""
+    table = written(sketch_table(docs, words, rows), "near-sketches")
     some = table.filter("n > 0 and doc_id is not null")
     classes = written(some.groupBy("sig").agg(F.min("doc_id").alias("id"), F.count("*").alias("k")), "near-classes")
     reps = written(some.join(classes, (F.col("doc_id") == F.col("id")) & (some.sig == classes.sig), "left_semi").groupBy(F.col("doc_id").alias("id"), "n", "sig").agg(F.first("regs").alias("regs")).select("id", "n", "regs"), "near-reps")
@@ -396,7 +396,7 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80)
     any other name are kept and not read.
     """
     gone_id, some, every, sig, lost_sig = fresh(docs, "_gone_id", "_some", "_every", "_sig", "_lost_sig")
-    labelled = written(_labelled(docs, words, percent).filter("doc_id is not null").select(F.col("doc_id").alias(gone_id), F.col("sig").alias(lost_sig), F.col("kept").alias(some)), "near-labels")
+    labelled = written(_labelled(docs, words, percent, 2 * STAGE_ROWS).filter("doc_id is not null").select(F.col("doc_id").alias(gone_id), F.col("sig").alias(lost_sig), F.col("kept").alias(some)), "near-labels")
     gone = labelled.groupBy(gone_id).agg(F.bool_or(some).alias(some), F.bool_and(some).alias(every)).filter(~F.col(every)).select(gone_id, some)
     same = F.col("doc_id").cast("long") == F.col(gone_id)
     rest = docs.join(gone.select(gone_id), same, "left_anti")

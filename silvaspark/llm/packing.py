@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .byte_tokens import MEMO_WORDS, ByteTokens, tokens
-from .common import STAGE_ROWS, slices, texts_of
+from .byte_tokens import MEMO_WORDS, tokens
+from .common import STAGE_ROWS, release, slices, texts_of
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 #: Documents packed at once; what stays open goes on to the next.
@@ -180,8 +180,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, least: int =
     room = step * window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # kept between tasks for the whole memory only; a stage of a chain leaves nothing behind
-        encoder, packer = tokens(tokenizer_path) if keep == MEMO_WORDS else ByteTokens(tokenizer_path, keep), Packer(window, least)
+        encoder, packer = tokens(tokenizer_path) if keep == MEMO_WORDS else tokens(tokenizer_path, keep), Packer(window, least)
         end = end_id.to_bytes(4, "little")
         context = TaskContext.get()
         high = (context.partitionId() if context else 0) << 40
@@ -200,7 +199,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, least: int =
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
         for batch in slices(batches, BATCH_ROWS):
-            texts, most = texts_of(batch), BATCH_ROWS if keep == MEMO_WORDS else STAGE_ROWS // 2
+            texts, most = texts_of(batch), BATCH_ROWS if keep == MEMO_WORDS else STAGE_ROWS
             coded = [c for k in range(0, len(texts), most) for c in encoder.encode(texts[k : k + most])]
             for one in packer.pack(zip(batch.column("doc_id").to_pylist(), (c + end for c in coded), strict=True)):
                 pending.append(one)
@@ -214,5 +213,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, least: int =
             held += one[0]
         if pending:
             yield rows(pending, -(-held // room))
+        if keep != MEMO_WORDS:  # words are kept between tasks for the whole memory only; a stage of a chain leaves nothing behind but the library
+            encoder.forget()
+            release()
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, SCHEMA)
