@@ -40,8 +40,8 @@ WINDOW = 12
 FIT_ROWS = 8_000
 SHORTEST, LONGEST = 4, 8
 MEMO_WORDS, STATES = 600_000, 200_000
-#: Words that a stage of a chain keeps, where the executor holds the stages before it.
-STAGE_WORDS = 100_000
+#: Words that a stage of a chain keeps, and those with their places, where the executor holds the stages before it.
+STAGE_WORDS, STAGE_PLACES = 100_000, 10_000
 
 
 def edits(length: int) -> int:
@@ -181,7 +181,7 @@ class Model:
     terms: dict[str, bool]
     weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES))
 
-    def hits(self, keep: int = MEMO_WORDS) -> Memo:
+    def hits(self, keep: int = MEMO_WORDS, most: int | None = None) -> Memo:
         automaton = Automaton(self.terms)
         known = Memo(automaton.find, keep)
 
@@ -201,11 +201,11 @@ class Model:
                 hits[first] = find(word.strip("".join({c for c in word if not c.isalnum()})))
             return [(p, h, alone) for p, h in zip(parts, hits, strict=True)]
 
-        return Memo(places, keep)
+        return Memo(places, most or keep)
 
     def scorer(self, keep: int = MEMO_WORDS) -> Callable[[list[str]], np.ndarray]:
         """Scores of whole texts; only those with a hit are looked at word by word."""
-        places = self.hits(keep)
+        places = self.hits(keep, None if keep == MEMO_WORDS else STAGE_PLACES)
         hit = Kept(lambda words: [any(p[1] for w in word.split() for p in places.function(w)) for word in words], keep)
         none = [1.0] + [0.0] * (FEATURES - 1)
 

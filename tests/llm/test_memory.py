@@ -1,5 +1,6 @@
 """What a task kept is gone when the next task of the same worker begins."""
 
+import gc
 import random
 import re
 import tracemalloc
@@ -105,3 +106,22 @@ def test_secrets_in_a_chain_need_little_memory():
     tracemalloc.stop()
     assert len(masked) == 480 and all(t.endswith("[SECRET]") for t in masked)
     assert most < 60
+
+
+def test_toxicity_in_a_chain_keeps_few_places():
+    """The places of a word are its costliest entry; only texts with a hit need them."""
+    from silvaspark.llm import toxicity
+
+    model = toxicity.Model({"idiot": True}, np.array([-3.0, 1, 0.2, 0.5, 0.1, 1, 1, 0, 1]))
+    texts = ["you idiot " + " ".join(f"word{i}x{k}" for k in range(300)) for i in range(100)]
+    found, most = [], []
+    model.scorer()(texts[:1])
+    for keep in (toxicity.MEMO_WORDS, toxicity.STAGE_WORDS):
+        gc.collect()
+        tracemalloc.start()
+        scores = model.scorer(keep)
+        found.append([scores([t])[0] for t in texts])
+        most.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        del scores
+    assert found[0] == found[1] and most[1] < 0.8 * most[0], most
